@@ -75,7 +75,9 @@ def _hangul(c: Column) -> Column:
 def _strip_accents(s: Column) -> Column:
     one_from, one_to, deleted, longer = _decompositions()
     simple = F.translate(s, one_from + deleted, one_to)
-    table = F.create_map(*[F.lit(x) for kv in sorted(longer.items()) for x in kv])
+    # one string literal that the optimizer folds into one map literal, instead of thousands of nodes
+    table = F.str_to_map(F.lit("\u0002".join(f"{k}\u0003{v}" for k, v in sorted(longer.items()))),
+                         F.lit("\u0002"), F.lit("\u0003"))
     has_longer = "[가-힣]|" + _char_class(longer)
     expanded = F.array_join(
         F.transform(
