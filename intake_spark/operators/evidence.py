@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from ..functions import parse as P
-from ..session import publish
+from ..session import publish, publish_all
 from .lookups import lookup
 from .splits import WHOLE, Splits
 
@@ -221,15 +221,17 @@ def fit(history: DataFrame, target: str = "final_team_cur", splits: Splits = WHO
     rows = history if parsed else P.with_phrases(history)
     if "bucket" not in rows.columns:
         rows = rows.withColumn("bucket", F.lit(0))
-    base = publish(evidence_base(rows, target, splits), "base")
+    first = {"base": evidence_base(rows, target, splits)}
+    if "B4" in features:
+        first["vocab"] = vocabulary(rows, splits)
+    first = publish_all(**first)
+    base, vocab = first["base"], first.get("vocab")
     phrases = publish(phrase_table(base, min_support), "phrases")
-    vocab = publish(vocabulary(rows, splits), "vocab") if "B4" in features else None
     para = (publish(paraphrase_table(paraphrases, phrases), "paraphrases")
             if paraphrases is not None and "B3" in features else None)
-    return Evidence(
-        base=base, phrases=phrases, products=publish(shrunk_posterior(base, ["product_family"]), "products"),
-        stats=publish(stats_table(base, phrases), "stats"), vocab=vocab, paraphrases=para, teams=teams,
-        min_support=min_support)
+    rest = publish_all(products=shrunk_posterior(base, ["product_family"]), stats=stats_table(base, phrases))
+    return Evidence(base=base, phrases=phrases, vocab=vocab, paraphrases=para, teams=teams, min_support=min_support,
+                    **rest)
 
 
 def save(evidence: Evidence, folder: str) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -56,6 +57,13 @@ def publish(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def publish_all(**tables: DataFrame) -> dict[str, DataFrame]:
+    """Publish independent tables side by side, so that small jobs do not wait for each other."""
+    with ThreadPoolExecutor(max_workers=max(1, len(tables))) as pool:
+        jobs = {name: pool.submit(publish, df, name) for name, df in tables.items()}
+        return {name: job.result() for name, job in jobs.items()}
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Repartition only when the scan yields fewer pieces than there are cores (one small file).
 

@@ -132,8 +132,9 @@ def requests_sql(spark: bool, orders: str = "orders") -> str:
                        then replace({d.pick([p for p, _ in CLEAR], '(5 * k + c + 4) % 17')}, '<p>', product) || ', '
                        else '' end
                || replace(phrase, '<p>', product) || payment
-               || {d.pick(['', ' thanks', ' pls call back', ' order KO'], d.div('k', 5) + ' % 4')}
-               || case when {d.div('k', 5)} % 4 = 3 then {d.padded('k', 7)} else '' end as clean_text
+               || {d.pick(['', ' thanks', ' pls call back', ' order KO', ' reg no SR'], d.div('k', 5) + ' % 5')}
+               || case {d.div('k', 5)} % 5 when 3 then {d.padded('k', 7)} when 4 then {d.padded('c', 7)}
+                  else '' end as clean_text
         from (
           select *,
                  lower(product_family) as product,
