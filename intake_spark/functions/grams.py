@@ -13,14 +13,16 @@ def word_tokens(text: Column) -> Column:
 
 def word_ngrams(text: Column, low: int, high: int) -> Column:
     """Word n-grams for every n from low to high, joined by blanks."""
-    words = word_tokens(text)
-
-    def of_size(n):
+    def of_size(words, n):
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+
+    def all_sizes(words):
+        parts = [words if n == 1 else of_size(words, n) for n in range(low, high + 1)]
+        return parts[0] if len(parts) == 1 else F.concat(*parts)
 
-    parts = [words if n == 1 else of_size(n) for n in range(low, high + 1)]
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+    # the tokens are bound to a lambda variable, so the text is tokenized once and not once per n-gram
+    return F.element_at(F.transform(F.array(word_tokens(text)), all_sizes), 1)
 
 
 def char_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
@@ -42,8 +44,3 @@ def char_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
 
     return F.flatten(F.transform(words, of_word))
 
-
-def tally(items: Column) -> Column:
-    """Distinct items of an array with their counts."""
-    return F.transform(F.array_distinct(items), lambda g: F.struct(
-        g.alias("term"), F.size(F.filter(items, lambda x: x == g)).alias("tf")))

@@ -10,12 +10,24 @@ from ..session import publish
 # A learned row is a phrase or a message (at most 2,000 characters) and a few numbers, so this many
 # rows stay below some 40 MB on each executor.
 BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 4 << 20  # of files: a few times as much in memory
 HOT_SHARE = 1_000   # a key is hot when it holds at least 1/1000 of the rows: so at most 1,000 keys are
 HOT_PIECES = 64     # a hot key is spread over this many pieces
 
 
+def planned_bytes(table: DataFrame) -> int | None:
+    """The planner's size of a table: for a published one the size of its files. No job is run."""
+    try:
+        return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except AttributeError:  # a client without access to the planner
+        return None
+
+
 def is_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the table may be broadcast; the check reads at most ``rows + 1`` rows of it."""
+    """Whether the table may be broadcast: by the size of its files, else by reading at most ``rows + 1`` rows."""
+    size = planned_bytes(table)
+    if size is not None and size <= BROADCAST_BYTES:
+        return True
     return table.limit(rows + 1).count() <= rows
 
 

@@ -18,13 +18,18 @@ from .lookups import lookup
 
 
 # ------------------------------------------------------------------------------------ phrases
+def gram_counts(phrases: DataFrame, text: str, low: int = 3, high: int = 5) -> DataFrame:
+    """(split, text, gram, tf) of distinct texts."""
+    grams = phrases.select("split", text, F.explode(G.char_ngrams(F.col(text), low, high)).alias("gram"))
+    return grams.groupBy("split", text, "gram").agg(F.count("*").alias("tf"))
+
+
 def gram_weights(phrases: DataFrame, text: str, low: int = 3, high: int = 5) -> tuple[DataFrame, DataFrame]:
     """TF-IDF of character n-grams: sublinear tf, smooth idf, unit length.
 
     Returns (split, text, grams: map gram -> weight) and the idf table (split, gram, df, idf).
     """
-    counted = phrases.select("split", text, F.explode(G.tally(G.char_ngrams(F.col(text), low, high))).alias("g")).select(
-        "split", text, F.col("g.term").alias("gram"), F.col("g.tf").alias("tf"))
+    counted = gram_counts(phrases, text, low, high)
     n = phrases.groupBy("split").agg(F.count("*").alias("docs"))
     idf = counted.groupBy("split", "gram").agg(F.count("*").alias("df")).join(F.broadcast(n), "split").withColumn(
         "idf", F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1).drop("docs")
@@ -64,9 +69,7 @@ def nearest_phrase(texts: DataFrame, keys: DataFrame, text: str = "last", first_
     """
     known, idf = gram_weights(keys.withColumnRenamed("key", "_key"), "_key")
     known = publish(known.withColumnRenamed("_key", "key"), "known_grams")
-    counted = texts.select("split", text, F.explode(G.tally(G.char_ngrams(F.col(text)))).alias("g")).select(
-        "split", text, F.col("g.term").alias("gram"), F.col("g.tf").alias("tf"))
-    vectors = publish(unit_vectors(counted, idf, text), "text_grams")
+    vectors = publish(unit_vectors(gram_counts(texts, text), idf, text), "text_grams")
     index = known.select("split", "key", F.explode("grams").alias("g")).select("split", "key", F.col("g.gram").alias("gram"))
 
     def best(probed: DataFrame) -> DataFrame:
@@ -81,15 +84,14 @@ def nearest_phrase(texts: DataFrame, keys: DataFrame, text: str = "last", first_
 
     rarest = F.transform(F.slice("grams", 1, first_grams), lambda g: g["gram"])
     round1 = publish(best(vectors.withColumn("probe", rarest)), "nearest_round1")
-    # position after which the norm of the rest is below the bound: grams i.. are needed while
-    # sum of squares from i on >= bound^2
-    squares = F.transform("grams", lambda g: g["w"] * g["w"])
+    # from the commonest gram backwards: gram i is needed while the squares from i on add up to the bound's square
     bound = F.coalesce(F.col("near_sim"), F.lit(0.0))
-    todo = vectors.join(round1, ["split", text], "left").withColumn("_sq", squares).withColumn(
-        "_need", F.size(F.filter(
-            F.transform(F.sequence(F.lit(1), F.size("_sq")), lambda i: F.aggregate(
-                F.slice(F.col("_sq"), i, F.size("_sq")), F.lit(0.0), lambda a, x: a + x)),
-            lambda rest: (rest + 1e-9 >= bound * bound))))
+    squares = F.reverse(F.transform("grams", lambda g: g["w"] * g["w"]))
+    zero = F.struct(F.lit(0.0).alias("rest"), F.lit(0).alias("need"))
+    need = F.aggregate(squares, zero, lambda acc, x: F.struct(
+        (acc["rest"] + x).alias("rest"),
+        (acc["need"] + (acc["rest"] + x + 1e-9 >= bound * bound).cast("int")).alias("need")), lambda acc: acc["need"])
+    todo = vectors.join(round1, ["split", text], "left").withColumn("_need", need)
     extra = todo.where(F.col("_need") > first_grams).withColumn(
         "probe", F.transform(F.expr("slice(grams, 1, _need)"), lambda g: g["gram"]))
     round2 = best(extra)

@@ -40,6 +40,8 @@ def first_rule(last: Column, rules, value: int = 0) -> Column:
 
 def matching_teams(last: Column, rules) -> Column:
     """Teams of all matching rules in rule order, each once."""
+    if not rules:
+        return F.array().cast("array<string>")
     return F.array_distinct(F.array_compact(F.array(*[F.when(last.rlike(p), F.lit(t)) for t, p, _ in rules])))
 
 
@@ -138,13 +140,32 @@ def read_unknown(unknown: DataFrame, evidence: Evidence, features, fallback: Fal
     return publish(lookup(rows, scored, ["split", "r_norm", "r_last"], ["split", "text"]), "unknown")
 
 
+def _states_need() -> Column:
+    return (F.trim(F.regexp_replace("text", r"(?U)\s+", " ")) != "") & ~F.col("vague")
+
+
+def readings_of(parsed_rows: DataFrame, evidence: Evidence, features, fallback: Fallback = majority_fallback) -> DataFrame:
+    """The distinct texts whose deciding request history does not know, with everything the cascade needs about them."""
+    known_phrases = evidence.phrases.select("split", "last", F.lit(True).alias("_known"))
+    candidates = parsed_rows.where(_states_need()).select("split", "text", "norm", "last").distinct()
+    unknown = lookup(candidates, known_phrases, ["split", "last"], ["split", "text"]).where("_known is null").drop("_known")
+    return read_unknown(publish(unknown, "unknown_texts"), evidence, features, fallback)
+
+
+def same_readings(a, b) -> bool:
+    """Whether two feature sets read unknown wording the same way (the other switches only choose among the evidence)."""
+    kind = lambda f: ("B3" in f, "B4" in f, bool({"B1", "B2"} & set(f)))
+    return kind(a) == kind(b)
+
+
 # ------------------------------------------------------------------------------------ cascade
 def route(requests: DataFrame, evidence: Evidence, features=L.DEFAULT_FEATURES, rules=None,
           fallback: Fallback = majority_fallback, text_col: str = "request_text", row_id: str = "request_id",
-          parsed: bool = False) -> DataFrame:
+          parsed: bool = False, readings: DataFrame | None = None) -> DataFrame:
     """Decide every request. Adds the decision columns to the columns of ``requests``.
 
     ``requests`` needs the text column and a unique ``row_id``; ``product_family`` and ``split`` are optional.
+    ``readings`` may be passed on from ``readings_of`` when several feature sets share it.
     """
     rules = L.KEYWORD_RULES if rules is None else rules
     features = frozenset(features)
@@ -156,15 +177,11 @@ def route(requests: DataFrame, evidence: Evidence, features=L.DEFAULT_FEATURES,
         rows = rows.withColumn("product_family", F.lit(None).cast("string"))
     if not parsed:
         rows = P.with_phrases(rows.withColumn("text", C.fix_text(F.col(text_col))), shown=True)
-    stated = (F.trim(F.regexp_replace("text", r"(?U)\s+", " ")) != "") & ~F.col("vague")
-
-    # ---- pass 1: the distinct wordings that history does not know
-    known_phrases = evidence.phrases.select("split", "last", F.lit(True).alias("_known"))
-    candidates = rows.where(stated).select("split", "text", "norm", "last").distinct()
-    unknown = lookup(candidates, known_phrases, ["split", "last"], ["split", "text"]).where("_known is null").drop("_known")
-    readings = read_unknown(publish(unknown, "unknown_texts"), evidence, features, fallback)
-
-    # ---- pass 2: joins and one projection
+    # pass 1: the wordings that history does not know
+    if readings is None:
+        readings = readings_of(rows, evidence, features, fallback)
+    # pass 2: joins and one projection
+    stated = _states_need()
     phrases = evidence.phrases.select(
         "split", "last", F.col("team").alias("p_team"), F.col("k").alias("p_k"), F.col("n").alias("p_n"),
         F.col("alternatives").alias("p_alternatives"))

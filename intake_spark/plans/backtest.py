@@ -16,7 +16,7 @@ from ..operators import splits as S
 from ..operators import stats as T
 from ..operators.lookups import lookup
 from ..operators.repair import corrupt
-from ..operators.route import first_rule, majority_fallback, route
+from ..operators.route import first_rule, majority_fallback, readings_of, route, same_readings
 from ..session import publish
 
 
@@ -42,12 +42,12 @@ def held_out(history: DataFrame, group: Column, k: int = 5) -> tuple[DataFrame,
 
 def run(scheme: tuple[DataFrame, S.Splits], features=L.DEFAULT_FEATURES, rules=None, fallback=majority_fallback,
         paraphrases: DataFrame | None = None, evidence: E.Evidence | None = None, teams: DataFrame | None = None,
-        where: Column | None = None) -> DataFrame:
+        where: Column | None = None, readings: DataFrame | None = None) -> DataFrame:
     """Fit (unless ``evidence`` is given) and decide all scored rows of a scheme; the history is already parsed."""
     history, splits = scheme
     evidence = evidence or E.fit(history, splits=splits, features=features, paraphrases=paraphrases, teams=teams, parsed=True)
     rows = splits.scored(history if where is None else history.where(where))
-    return route(rows, evidence, features, rules, fallback, parsed=True)
+    return route(rows, evidence, features, rules, fallback, parsed=True, readings=readings)
 
 
 def check_no_leak(decided: DataFrame) -> DataFrame:
@@ -213,9 +213,9 @@ def lookup_model(scheme: tuple[DataFrame, S.Splits], fallback: Column | None = N
     return rows.withColumn("team", F.coalesce(*([F.col("known_team")] + ([fallback] if fallback is not None else []) + [F.col("majority_team")])))
 
 
-def hybrid_rules(scheme: tuple[DataFrame, S.Splits], rules) -> DataFrame:
+def hybrid_rules(scheme: tuple[DataFrame, S.Splits], rules, evidence: E.Evidence | None = None) -> DataFrame:
     """Vague -> pooled outcome; known wording -> its majority; else keyword rules with the default team."""
-    decided = run(scheme, features=frozenset(), rules=[])
+    decided = run(scheme, features=frozenset(), rules=[], evidence=evidence)
     return decided.withColumn("team", F.when(F.col("route_type").isin("new_wording", "empty"), F.coalesce(
         first_rule(F.col("last"), rules), F.lit(L.BASELINE_DEFAULT))).otherwise(F.col("team")))
 
@@ -240,10 +240,15 @@ def switch_rows(scheme: tuple[DataFrame, S.Splits], paraphrases: DataFrame | Non
     variants = variants or VARIANTS
     every = frozenset().union(*variants.values())
     evidence = E.fit(scheme[0], splits=scheme[1], features=every, paraphrases=paraphrases, parsed=True)
-    out = None
+    rows = scheme[1].scored(scheme[0] if where is None else scheme[0].where(where))
+    out, read = None, []
     for name, features in variants.items():
-        one = run(scheme, features, rules, fallback, evidence=evidence if "B3" in features else without_paraphrases(evidence),
-                  where=where)
+        own = evidence if "B3" in features else without_paraphrases(evidence)
+        readings = next((r for f, r in read if same_readings(f, features)), None)
+        if readings is None:
+            readings = readings_of(rows, own, features, fallback)
+            read.append((features, readings))
+        one = route(rows, own, features, rules, fallback, parsed=True, readings=readings)
         one = one.select("split", "request_id", "final_team_cur", "route_type", "route_detail", "auto_route",
                          F.col("team").alias("pred"), F.lit(name).alias("model"))
         out = one if out is None else out.unionByName(one)
@@ -263,11 +268,11 @@ def decider_breakdown(decided: DataFrame, pred: str = "team") -> DataFrame:
 
 
 def typo_test(history: DataFrame, levels=(("clean", 0.0), ("light", 0.15), ("heavy", 0.30)),
-              features=(frozenset(), frozenset({"B4"})), fallback=majority_fallback) -> DataFrame:
+              features=(frozenset(), frozenset({"B4"})), fallback=majority_fallback, evidence: E.Evidence | None = None) -> DataFrame:
     """Accuracy on clear later requests when words are corrupted, per level and feature set."""
     from ..functions import parse as P
     scheme = out_of_time(history)
-    evidence = E.fit(scheme[0], splits=scheme[1], features=frozenset().union(*features), parsed=True)
+    evidence = evidence or E.fit(scheme[0], splits=scheme[1], features=frozenset().union(*features), parsed=True)
     later = scheme[1].scored(scheme[0].where(~F.col("vague"))).select("split", "request_id", "product_family", "final_team_cur", "text")
     texts = later.select("split", "product_family", "final_team_cur", F.col("request_id").alias("source_id"), F.explode(F.array(*[
         F.struct(F.lit(name).alias("level"), (corrupt(F.col("text"), F.col("request_id"), p, seed) if p else F.col("text")).alias("text"))
@@ -283,10 +288,10 @@ def typo_test(history: DataFrame, levels=(("clean", 0.0), ("light", 0.15), ("hea
 
 
 def rewritten_test(history: DataFrame, rewritten: DataFrame, features=(frozenset(), frozenset({"B4"})),
-                   fallback=majority_fallback) -> DataFrame:
+                   fallback=majority_fallback, evidence: E.Evidence | None = None) -> DataFrame:
     """Accuracy on the same requests in their original and their rewritten wording."""
     scheme = out_of_time(history)
-    evidence = E.fit(scheme[0], splits=scheme[1], features=frozenset().union(*features), parsed=True)
+    evidence = evidence or E.fit(scheme[0], splits=scheme[1], features=frozenset().union(*features), parsed=True)
     texts = rewritten.select("request_id", "product_family", "final_team_cur", F.explode(F.array(
         F.struct(F.lit("original").alias("wording"), F.col("text").alias("request_text")),
         F.struct(F.lit("rewritten").alias("wording"), F.col("hinglish").alias("request_text")))).alias("v")).select(

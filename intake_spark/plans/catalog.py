@@ -304,7 +304,7 @@ def typo_perturbation(spark, sf):
 
 @query
 def typo_stress(spark, sf):
-    return BT.typo_test(history(spark, sf))
+    return BT.typo_test(history(spark, sf), evidence=oot_evidence(spark, sf))
 
 
 @query
@@ -315,7 +315,8 @@ def rewritten_stress(spark, sf):
     for english, other in (("not turning on", "chalu nahi ho raha"), ("leaking water", "paani tapak raha hai"),
                            ("invoice not received", "bill nahi mila"), ("how to clean", "kaise saaf kare")):
         hindi = F.replace(hindi, F.lit(english), F.lit(other))
-    return BT.rewritten_test(history(spark, sf), late.select("request_id", "text", hindi.alias("hinglish"), "product_family", "final_team_cur"))
+    return BT.rewritten_test(history(spark, sf), late.select("request_id", "text", hindi.alias("hinglish"), "product_family", "final_team_cur"),
+                             evidence=oot_evidence(spark, sf))
 
 
 # ------------------------------------------------------------------------------------ routing
@@ -351,7 +352,7 @@ def route_reasons(spark, sf):
 @query
 def route_question(spark, sf):
     """With C2: the options in order of likelihood, the first three marked."""
-    decided = BT.run(BT.out_of_time(history(spark, sf)), features={"C2"})
+    decided = BT.run(BT.out_of_time(history(spark, sf)), features={"C2"}, evidence=oot_evidence(spark, sf))
     options = F.transform("clarifying_question.options", lambda o: F.concat(o["team"], F.when(o["likely"], "*").otherwise("")))
     return decided.where("needs_clarification").select("request_id", "clarifying_question.question", F.array_join(options, "|").alias("options"))
 
@@ -599,13 +600,11 @@ def simple_models(spark, sf):
     """Majority class, rules, lookup and rule hybrids, out of time."""
     scheme = BT.out_of_time(history(spark, sf))
     rows = scheme[1].scored(scheme[0])
-    majority = oot_evidence(spark, sf).stats.select("split", F.when(
-        F.col("clear_k") >= F.col("pooled_k"), F.col("clear_team")).otherwise(F.col("pooled_team")).alias("team"))
     models = {
         "rules on the last request": BT.baseline_rules(rows),
         "lookup on the last request": BT.lookup_model(scheme),
-        "hybrid, shipped words": BT.hybrid_rules(scheme, L.BASELINE_RULES),
-        "hybrid, team words": BT.hybrid_rules(scheme, L.TEAM_WORD_RULES),
+        "hybrid, shipped words": BT.hybrid_rules(scheme, L.BASELINE_RULES, oot_evidence(spark, sf)),
+        "hybrid, team words": BT.hybrid_rules(scheme, L.TEAM_WORD_RULES, oot_evidence(spark, sf)),
         "most common team": BT.lookup_model(scheme).withColumn("team", F.col("majority_team")),
         "vendor bot": rows.withColumn("team", F.col("bot_team")),
     }
@@ -671,15 +670,6 @@ def nearest_wording(spark, sf):
         "last", "near_key", "near_sim")
 
 
-@query
-def nearest_benchmark(spark, sf):
-    """For every benchmark text the most similar document by character n-grams, over whole texts."""
-    docs = table(spark, sf, "documents", "doc_id", "text").select(F.lit(0).alias("split"), F.col("text").alias("key")).distinct()
-    items = table(spark, sf, "benchmark", "item_id", "text").select(F.lit(0).alias("split"), F.col("text").alias("last")).distinct()
-    near = N.nearest_phrase(publish(items, "items"), publish(docs, "docs"))
-    return near.select(F.md5("last").alias("item"), F.md5("near_key").alias("document"), "near_sim")
-
-
 @query
 def knn_vote(spark, sf):
     """Each vector's label by a distance-weighted vote of its 25 nearest others."""
