@@ -391,9 +391,10 @@ def recent_context(history: DataFrame, days=(7, 30, 90)) -> DataFrame:
     Requests are counted per day first, so the window runs over days, not over requests.
     """
     from pyspark.sql import Window
-    daily = E.team_counts(history.where(~F.col("vague")).withColumns({
-        "day": F.datediff(F.col("created_at").cast("date"), F.lit("2020-01-01").cast("date")), "n": F.lit(1)}),
-        ["product_family", "day"], "final_team_cur")
+    # vague requests weigh nothing, but their days get a context too
+    daily = E.team_counts(history.withColumns({
+        "day": F.datediff(F.col("created_at").cast("date"), F.lit("2020-01-01").cast("date")),
+        "n": (~F.col("vague")).cast("int")}), ["product_family", "day"], "final_team_cur")
     out = daily
     for d in days:
         w = Window.partitionBy("product_family").orderBy("day").rangeBetween(-d, -1)
