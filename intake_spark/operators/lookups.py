@@ -18,7 +18,7 @@ HOT_PIECES = 64     # a hot key is spread over this many pieces
 def planned_bytes(table: DataFrame) -> int | None:
     """The planner's size of a table: for a published one the size of its files. No job is run."""
     try:
-        return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except AttributeError:  # a client without access to the planner
         return None
 

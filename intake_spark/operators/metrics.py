@@ -97,9 +97,9 @@ def selective_routing(decided: DataFrame) -> DataFrame:
     return one.select("n", F.explode(F.array(*[
         F.struct(F.lit(name).alias("auto_route_when"), F.col(f"n{i}").alias("routed"), F.col(f"k{i}").alias("routed_right"))
         for i, (name, _) in enumerate(rules)])).alias("r")).select(
-        "r.auto_route_when", (F.col("r.routed") / F.col("n")).alias("share_routed"),
-        F.when(F.col("r.routed") > 0, F.col("r.routed_right") / F.col("r.routed")).alias("accuracy_routed"),
-        (1 - F.col("r.routed") / F.col("n")).alias("share_to_person"))
+        "r.auto_route_when", F.try_divide("r.routed", "n").alias("share_routed"),
+        F.try_divide("r.routed_right", "r.routed").alias("accuracy_routed"),
+        (1 - F.try_divide("r.routed", "n")).alias("share_to_person"))
 
 
 def top_k(decided: DataFrame, ks=(1, 2, 3)) -> DataFrame:

@@ -70,12 +70,14 @@ def nearest_phrase(texts: DataFrame, keys: DataFrame, text: str = "last", first_
     known, idf = gram_weights(keys.withColumnRenamed("key", "_key"), "_key")
     known = publish(known.withColumnRenamed("_key", "key"), "known_grams")
     vectors = publish(unit_vectors(gram_counts(texts, text), idf, text), "text_grams")
-    index = known.select("split", "key", F.explode("grams").alias("g")).select("split", "key", F.col("g.gram").alias("gram"))
+    index = publish(known.select("split", "key", F.explode("grams").alias("g")).select(
+        "split", "key", F.col("g.gram").alias("gram")), "gram_index")
 
     def best(probed: DataFrame) -> DataFrame:
         """``probed``: (split, text, grams, probe) with the grams to look up."""
         probes = probed.select("split", text, F.explode("probe").alias("gram"))
-        pairs = probes.join(index, ["split", "gram"]).select("split", text, "key").distinct()
+        # a gram shared by many phrases is spread over several tasks when the index is too large to broadcast
+        pairs = lookup(probes, index, ["split", "gram"], ["split", text], "inner").select("split", text, "key").distinct()
         pairs = pairs.join(known.withColumnRenamed("grams", "key_grams"), ["split", "key"]).join(
             vectors, ["split", text])
         scored = pairs.select("split", text, "key", F.round(_dot(F.col("grams"), F.col("key_grams")), 12).alias("sim"))
@@ -126,9 +128,7 @@ def _assign(vectors: DataFrame, pivots: np.ndarray, spark) -> DataFrame:
                 d = np.sqrt(np.maximum(0.0, 2 - 2 * (x @ p.T)))
                 pdf["cell"] = d.argmin(axis=1).astype("int32")
                 pdf["reach"] = d.min(axis=1)
-            else:
-                pdf["cell"], pdf["reach"] = pd.Series([], dtype="int32"), pd.Series([], dtype="float64")
-            yield pdf
+                yield pdf
 
     schema = vectors.schema.simpleString()[len("struct<"):-1] + ",cell:int,reach:double"
     return vectors.mapInPandas(run, schema)
@@ -177,6 +177,8 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, cells: int | None =
                 lower = np.take_along_axis(d, order, 1) - rad[order]
                 keep = ~first & (size[order] > 0) & (lower <= bound + 1e-9)
             i, j = np.nonzero(keep)
+            if not len(i):
+                continue
             yield pd.DataFrame({"q_id": pdf["id"].to_numpy()[i], "vec": [pdf["vec"].iloc[a] for a in i],
                                 "cell": order[i, j].astype("int32")})
 

@@ -92,7 +92,9 @@ def best_known_word(words: DataFrame, vocab: DataFrame, cutoff: float = L.SPELL_
     """
     keys = ["split", "a_len", "b_len", "i", "piece"]
     known = vocab.withColumnRenamed("word", "known")
-    pairs = _word_pieces(words, known, cutoff).join(_known_pieces(known, words, cutoff), keys)
+    # a short piece may be in very many words: beyond broadcast size, hot pieces are spread over several tasks
+    pieces = publish(_known_pieces(known, words, cutoff), "known_pieces")
+    pairs = lookup(_word_pieces(words, known, cutoff), pieces, keys, ["split", "word"], "inner")
     near = F.levenshtein(F.col("word"), F.col("known"))
     pairs = pairs.where(near <= F.col("budget")).select("split", "word", "known").distinct()
     scored = pairs.withColumn("ratio", match_ratio("known", "word")).where(F.col("ratio") >= cutoff)

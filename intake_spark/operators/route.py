@@ -95,7 +95,7 @@ def read_unknown(unknown: DataFrame, evidence: Evidence, features, fallback: Fal
         "split", F.col("last").alias("f_last"), F.col("team").alias("r_team"), F.col("k").alias("r_k"),
         F.col("n").alias("r_count"), F.col("alternatives").alias("r_alternatives"))
     rows = lookup(rows, phrases, ["split", "f_last"], ["split", "text"])
-    paraphrased = evidence.paraphrases is not None
+    paraphrased = evidence.paraphrases is not None and "B3" in features
     if paraphrased:
         para = evidence.paraphrases.select("split", F.col("last").alias("f_last"), "para_team", "para_source")
         rows = lookup(rows, para, ["split", "f_last"], ["split", "text"])

@@ -66,6 +66,9 @@ def bootstrap_interval(decided: DataFrame, ok: Column, by: list[str] = (), resam
     def draw(n: pd.Series, k: pd.Series) -> pd.Series:
         out = []
         for rows, hits in zip(n, k):
+            if not rows:
+                out.append([None, None])
+                continue
             rng = np.random.default_rng([seed, int(rows), int(hits)])
             means = rng.binomial(int(rows), hits / rows, size=resamples) / rows
             out.append([float(np.quantile(means, 0.025)), float(np.quantile(means, 0.975))])
@@ -73,7 +76,7 @@ def bootstrap_interval(decided: DataFrame, ok: Column, by: list[str] = (), resam
 
     interval = F.pandas_udf(draw, T.ArrayType(T.DoubleType()))
     return counts.withColumn("_ci", interval("n", "k")).select(
-        *by, "n", (F.col("k") / F.col("n")).alias("accuracy"), F.col("_ci")[0].alias("low"), F.col("_ci")[1].alias("high"))
+        *by, "n", F.try_divide("k", "n").alias("accuracy"), F.col("_ci")[0].alias("low"), F.col("_ci")[1].alias("high"))
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:

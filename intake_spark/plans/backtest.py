@@ -370,7 +370,7 @@ def new_wording_share(history: DataFrame) -> DataFrame:
     per = rows.groupBy("last").agg(F.count_if("later").alias("later_n"), F.count_if(~F.col("later")).alias("earlier_n"))
     return per.agg(
         F.count_if(F.col("earlier_n") > 0).alias("earlier_phrases"), F.count_if(F.col("later_n") > 0).alias("later_phrases"),
-        (F.sum(F.when(F.col("earlier_n") == 0, F.col("later_n")).otherwise(0)) / F.sum("later_n")).alias("new_share"))
+        F.try_divide(F.sum(F.when(F.col("earlier_n") == 0, F.col("later_n")).otherwise(0)), F.sum("later_n")).alias("new_share"))
 
 
 def linked_requests(history: DataFrame) -> DataFrame:
@@ -382,7 +382,7 @@ def linked_requests(history: DataFrame) -> DataFrame:
     counts = history.select(F.explode(numbers).alias("number"), "final_team_cur").groupBy("number", "final_team_cur").agg(F.count("*").alias("n"))
     per = counts.groupBy("number").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("same"))
     pairs = F.sum(F.col("n") * (F.col("n") - 1) / 2)
-    return per.agg(F.count_if(F.col("n") > 1).alias("shared_numbers"), pairs.alias("pairs"), (F.sum("same") / pairs).alias("same_team_share"))
+    return per.agg(F.count_if(F.col("n") > 1).alias("shared_numbers"), pairs.alias("pairs"), F.try_divide(F.sum("same"), pairs).alias("same_team_share"))
 
 
 def recent_context(history: DataFrame, days=(7, 30, 90)) -> DataFrame:

@@ -180,7 +180,7 @@ def phrase_families(spark, sf):
 def document_families(spark, sf):
     """First line of each document with its numbers masked: how many documents share it."""
     docs = table(spark, sf, "documents", "doc_id", "text")
-    first = docs.withColumn("line", F.element_at(F.split(C.repair_damaged(F.col("text")), "\n"), 1))
+    first = docs.withColumn("line", F.element_at(F.split(F.col("text"), "\n"), 1))
     return E.top_phrase(first.withColumn("family", C.phrase_family(F.col("line"))), "family", "line")
 
 
@@ -720,6 +720,14 @@ def route_with_text_model(spark, sf):
     return M.by_group(decided, "route_type")
 
 
+@query
+def held_out_text_model(spark, sf):
+    """Unseen wording decided by fair rules and, where none fires, by each fold's own text model."""
+    scheme = BT.held_out(history(spark, sf), F.col("last"))
+    decided = BT.run(scheme, {"A1"}, L.TEAM_WORD_RULES, TM.model_fallback(TM.fit_per_split(*scheme)))
+    return M.fold_summary(M.accuracy(decided, ["split"]), "clear")
+
+
 def _scored(name, fit):
     def run(spark, sf):
         train, rows, clear = _learned(spark, sf)

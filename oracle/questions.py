@@ -37,6 +37,10 @@ SQL["phrase_families"] = query("""
 select family, first(last order by n desc, last) as last, cast(max(n) as bigint) as n, cast(sum(n) as bigint) as family_rows
 from (select regexp_replace(last, '\\d+', '#', 'g') as family, last, count(*) as n from h where not vague group by all)
 group by family""")
+SQL["document_families"] = """
+select family, first(line order by n desc, line) as line, cast(max(n) as bigint) as n, cast(sum(n) as bigint) as family_rows from (
+  select regexp_replace(line, '\\d+', '#', 'g') as family, line, count(*) as n
+  from (select split_part(text, chr(10), 1) as line from documents) group by all) group by family"""
 SQL["last_user_turn"] = f"""
 with u as (select conv_id, count(*) as user_turns, max(turn) as turn, arg_max(text, turn) as text
            from conversations where role = 'user' group by conv_id),
