@@ -136,8 +136,11 @@ def spell_correct(texts: DataFrame, vocab: DataFrame, text: str = "text", out: s
 
 
 def repair(texts: DataFrame, vocab: DataFrame, text: str = "text", out: str = "fixed") -> DataFrame:
-    """Adds ``out``: English for Hindi phrases, then spelling; rows are distinct per (split, text)."""
-    english = texts.withColumn("_english", hinglish_to_english(F.col(text)))
+    """Adds ``out``: English for Hindi phrases, then spelling; rows are distinct per (split, text).
+
+    A stored ``_english`` column (the first step's result) is used when the texts have one.
+    """
+    english = texts if "_english" in texts.columns else texts.withColumn("_english", hinglish_to_english(F.col(text)))
     fixed = spell_correct(english.select("split", "_english").distinct(), vocab, "_english", out)
     return english.join(fixed, ["split", "_english"], "left").drop("_english")
 

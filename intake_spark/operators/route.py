@@ -21,7 +21,7 @@ from ..session import publish
 from .evidence import Evidence, posterior, ranked
 from .lookups import lookup
 from .neighbors import nearest_phrase
-from .repair import repair
+from .repair import hinglish_to_english, repair
 
 Fallback = Callable[[DataFrame, Evidence], DataFrame]
 
@@ -149,6 +149,8 @@ def readings_of(parsed_rows: DataFrame, evidence: Evidence, features, fallback:
     known_phrases = evidence.phrases.select("split", "last", F.lit(True).alias("_known"))
     candidates = parsed_rows.where(_states_need()).select("split", "text", "norm", "last").distinct()
     unknown = lookup(candidates, known_phrases, ["split", "last"], ["split", "text"]).where("_known is null").drop("_known")
+    if "B4" in features:  # stored with the texts, because the spelling step reads it several times
+        unknown = unknown.withColumn("_english", hinglish_to_english(F.col("text")))
     return read_unknown(publish(unknown, "unknown_texts"), evidence, features, fallback)
 
 

@@ -595,22 +595,28 @@ def majority_ensemble(spark, sf):
                      F.avg(M.right("b")).alias("rules"), F.avg(M.right("c")).alias("lookup"))
 
 
+def _schemes(spark, sf):
+    h = history(spark, sf)
+    return {"A out-of-time": BT.out_of_time(h), "B 5-fold CV": BT.cross_validation(h), "C unseen wording": BT.held_out(h, F.col("last"))}
+
+
 @query
 def simple_models(spark, sf):
-    """Majority class, rules, lookup and rule hybrids, out of time."""
-    scheme = BT.out_of_time(history(spark, sf))
-    rows = scheme[1].scored(scheme[0])
-    models = {
-        "rules on the last request": BT.baseline_rules(rows),
-        "lookup on the last request": BT.lookup_model(scheme),
-        "hybrid, shipped words": BT.hybrid_rules(scheme, L.BASELINE_RULES, oot_evidence(spark, sf)),
-        "hybrid, team words": BT.hybrid_rules(scheme, L.TEAM_WORD_RULES, oot_evidence(spark, sf)),
-        "most common team": BT.lookup_model(scheme).withColumn("team", F.col("majority_team")),
-        "vendor bot": rows.withColumn("team", F.col("bot_team")),
-    }
+    """Most common team, rules, lookup, rule hybrids and the baseline under the three schemes."""
+    out = None
+    for name, scheme in _schemes(spark, sf).items():
+        one = BT.simple_models(scheme).withColumn("scheme", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def challenger_robustness(spark, sf):
+    """Rules for vague requests under cross-validation and on unseen wording (fair rules)."""
+    schemes = _schemes(spark, sf)
     out = None
-    for name, decided in models.items():
-        one = M.accuracy(decided, vague=F.col("vague")).withColumn("model", F.lit(name))
+    for name, rules in (("B 5-fold CV", L.KEYWORD_RULES), ("C unseen wording", L.TEAM_WORD_RULES)):
+        one = BT.robustness(schemes[name], rules).withColumn("scheme", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -694,7 +700,7 @@ def tfidf_terms(spark, sf):
     """Word TF-IDF of the documents: term weights of unit length per document (1-2 grams, in two documents or more)."""
     docs = table(spark, sf, "documents", "doc_id", "text")
     block = (TM.Block("text", 1, 2, 2),)
-    idf = TM.idf_table(docs.select("text", F.lit(1).alias("weight")), block, max_features=1 << 30)
+    idf = TM.idf_table(docs.select("text", F.lit(1).alias("weight")), block, indexed=False)
     texts = docs.select(F.md5("text").alias("document"), "text").distinct()
     w = TM.weights(texts, idf, block, ["document"])
     return w.groupBy("document").agg(F.count("*").alias("terms"), F.max("w").alias("top_weight"), F.sum("w").alias("weight_sum"))
@@ -703,7 +709,7 @@ def tfidf_terms(spark, sf):
 @query
 def document_idf(spark, sf):
     docs = table(spark, sf, "documents", "doc_id", "text").select("text", F.lit(1).alias("weight"))
-    return TM.idf_table(docs, (TM.Block("text", 1, 1, 2),), max_features=1 << 30).select("term", "df", "idf")
+    return TM.idf_table(docs, (TM.Block("text", 1, 1, 2),), indexed=False).select("term", "df", "idf")
 
 
 def _learned(spark, sf):

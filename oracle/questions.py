@@ -389,22 +389,67 @@ select count(*) as n, {r("avg(cast((case when b = c then b else r.team end) = fi
   {r(f'avg({OK})')} as champion, {r('avg(cast(b = final_team_cur as int))')} as rules, {r('avg(cast(c = final_team_cur as int))')} as lookup
 from routed r join bl using (split, request_id) join lkr using (split, request_id)""".replace("{OK}", OK).replace(OK, OK.replace("team = ", "r.team = ", 1)),
     *routed(ROLLING), VOTE)
-SIMPLE = f"""
-lk0 as (select last, final_team_cur as team, count(*) as c from h where {BEFORE} group by all),
-lk as (select last, first(team order by c desc, team) as team from lk0 group by all),
-mj as (select first(team order by c desc, team) as team from (select team, sum(c) as c from lk0 group by all)),
+
+
+def simple(name, scheme):
+    """Per split accuracy of the simple models under one scheme, as a CTE."""
+    learn, score = scheme
+    return nested(name, "select * from sm", f"lk0 as (select split, last, final_team_cur as team, count(*) as c from ({learn}) group by all)",
+        "lk as (select split, last, first(team order by c desc, team) as team from lk0 group by all)",
+        "mj as (select split, first(team order by c desc, team) as team from (select split, team, sum(c) as c from lk0 group by all) group by split)",
+        learned(learn), cascade(score, frozenset()), f"""
 sm as (
-  select 'rules on the last request' as model, h.vague as is_vague, final_team_cur, bot_team,
-         coalesce({first_rule('last', L.BASELINE_RULES)}, {q(L.BASELINE_DEFAULT)}) as team from h where not ({BEFORE})
-  union all select 'lookup on the last request', h.vague, final_team_cur, bot_team, coalesce(lk.team, mj.team) from h cross join mj left join lk using (last) where not ({BEFORE})
-  union all select 'most common team', h.vague, final_team_cur, bot_team, mj.team from h cross join mj where not ({BEFORE})
-  union all select 'vendor bot', h.vague, final_team_cur, bot_team, bot_team from h where not ({BEFORE})
-  union all select 'hybrid, shipped words', vague, final_team_cur, bot_team, case when route_type in ('new_wording', 'empty')
+  select 'rules on the last request' as model, split, vague as is_vague, final_team_cur, bot_team,
+         coalesce({first_rule('last', L.BASELINE_RULES)}, {q(L.BASELINE_DEFAULT)}) as team from scr
+  union all select 'lookup on the last request', s.split, vague, final_team_cur, bot_team, coalesce(lk.team, mj.team)
+    from scr s join mj using (split) left join lk on lk.split = s.split and lk.last = s.last
+  union all select 'most common team', s.split, vague, final_team_cur, bot_team, mj.team from scr s join mj using (split)
+  union all select 'vendor bot', split, vague, final_team_cur, bot_team, bot_team from scr
+  union all select 'hybrid, shipped words', split, vague, final_team_cur, bot_team, case when route_type in ('new_wording', 'empty')
          then coalesce({first_rule('last', L.BASELINE_RULES)}, {q(L.BASELINE_DEFAULT)}) else team end from routed
-  union all select 'hybrid, team words', vague, final_team_cur, bot_team, case when route_type in ('new_wording', 'empty')
-         then coalesce({first_rule('last', L.TEAM_WORD_RULES)}, {q(L.BASELINE_DEFAULT)}) else team end from routed)"""
-SQL["simple_models"] = query(f"select model, {ACC.replace('IS_VAGUE', 'is_vague')} from sm group by model",
-                             *routed(features=frozenset()), SIMPLE)
+  union all select 'hybrid, team words', split, vague, final_team_cur, bot_team, case when route_type in ('new_wording', 'empty')
+         then coalesce({first_rule('last', L.TEAM_WORD_RULES)}, {q(L.BASELINE_DEFAULT)}) else team end from routed)""")
+
+
+SCHEMES = {"A out-of-time": ("sma", OOT), "B 5-fold CV": ("smb", CV), "C unseen wording": ("smc", GROUPED)}
+SQL["simple_models"] = query(" union all ".join(f"""
+select model, cast(sum(n) as bigint) as n, {r('avg(a)')} as vs_outcome, {r('avg(b)')} as vs_bot, {r('avg(c)')} as clear, {r('avg(v)')} as vague,
+       {r('stddev_samp(a)')} as sd, {q(scheme)} as scheme from (
+  select model, split, count(*) as n, avg({OK}) as a, avg(cast(coalesce(team = bot_team, false) as int)) as b,
+         avg({OK}) filter (not is_vague) as c, avg({OK}) filter (is_vague) as v from {cte} group by model, split) group by model"""
+    for scheme, (cte, _) in SCHEMES.items()), FOLDED, group_folds("last"), *[simple(c, s) for c, s in SCHEMES.values()])
+
+
+def robust(name, scheme, rules):
+    return nested(name, "select * from rb", learned(scheme[0]), cascade(scheme[1], A1, rules), f"""
+w2 as (select k.split, k.product_family, k.warranty_status, t.team,
+         (coalesce(w.c, 0) + {L.VAGUE_ALPHA}.0::double * (t.c / pl.pl_n)) / (k.n + {L.VAGUE_ALPHA}) as post
+  from (select split, product_family, warranty_status, count(*) as n from lrn where vague group by all) k join vt t using (split) join pl using (split)
+  left join (select split, product_family, warranty_status, final_team_cur as team, count(*) as c from lrn where vague group by all) w
+    on w.split = k.split and w.product_family = k.product_family and w.warranty_status = k.warranty_status and w.team = t.team),
+w2m as (select split, product_family, warranty_status, first(team order by post desc, team) as pw_team from w2 group by all),
+rb as (select r.split, r.final_team_cur, r.route_type, r.team as c0, r.pl_team as pooled, coalesce(r.pm_team, r.pl_team) as c1, coalesce(w2m.pw_team, r.pl_team) as c3
+  from routed r left join w2m on w2m.split = r.split and w2m.product_family = r.product_family and w2m.warranty_status = r.warranty_status)""")
+
+
+SQL["challenger_robustness"] = query(" union all ".join(f"""
+select {q(m)} as model, {r('avg(a)')} as acc, {r('stddev_samp(a)')} as sd, {q(scheme)} as scheme from (
+  select split, avg(cast(coalesce((case when route_type = 'vague' then {col} else c0 end) = final_team_cur, false) as int)) as a from {cte} group by split)"""
+    for scheme, cte in (("B 5-fold CV", "rbb"), ("C unseen wording", "rbc"))
+    for m, col in (("C0 champion", "c0"), ("pooled", "pooled"), ("C1 vague prior by product", "c1"), ("C3 vague prior by product x warranty", "c3"))),
+    FOLDED, group_folds("last"), robust("rbb", CV, L.KEYWORD_RULES), robust("rbc", GROUPED, L.TEAM_WORD_RULES))
+
+REWRITES = (("not turning on", "chalu nahi ho raha"), ("leaking water", "paani tapak raha hai"),
+            ("invoice not received", "bill nahi mila"), ("how to clean", "kaise saaf kare"))
+HINDI = "text"
+for a_, b_ in REWRITES:
+    HINDI = f"replace({HINDI}, {q(a_)}, {q(b_)})"
+LATE = f"select 0 as split, request_id, request_text, product_family, final_team_cur, text from h where not ({BEFORE}) and not vague"
+REWRITTEN = parse(f"select * exclude (text), 'original' as wording, text from ({LATE}) union all "
+                  f"select * exclude (text), 'rewritten', {HINDI} as text from ({LATE})")
+SQL["rewritten_stress"] = query(" union all ".join(
+    f"select {q(n)} as switches, wording, count(*) as n, {r(f'avg({OK})')} as accuracy from routed{x} group by wording"
+    for n, x in (("none", ""), ("B4", "2"))), learned(OOT[0]), cascade(REWRITTEN, frozenset()), cascade(REWRITTEN, frozenset({"B4"}), suffix="2"))
 
 # ------------------------------------------------------------------------------------ analyses
 QUARTER = "case " + " ".join(f"when created_at >= timestamp '{s}' and created_at < timestamp '{e}' then {i}" for i, (_, s, e) in enumerate(L.QUARTERS)) + " end"
