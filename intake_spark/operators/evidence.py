@@ -54,11 +54,11 @@ def with_majority(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------------------------ tables
 def evidence_base(parsed: DataFrame, target: str, splits: Splits) -> DataFrame:
-    """History as counts, once per split that learns from it."""
+    """History as counts, once per split that learns from it; requests without an outcome teach nothing."""
     opt = {c: (F.col(c) if c in parsed.columns else F.lit(None).cast("string"))
            for c in ("product_family", "warranty_status", "bot_team")}
     vague = F.col("vague")
-    grouped = parsed.groupBy(
+    grouped = parsed.where(F.col(target).isNotNull()).groupBy(
         "bucket", "vague", "last",
         F.when(F.col("n_clauses") >= 2, F.col("first")).alias("first"),
         F.when(vague, opt["product_family"]).alias("product_family"),

@@ -46,10 +46,10 @@ def lookup(left: DataFrame, table: DataFrame, keys: list[str], row_id: list[str]
 
 def spread_join(left: DataFrame, table: DataFrame, keys: list[str], row_id: list[str], how: str = "left",
                 share: int = HOT_SHARE, pieces: int = HOT_PIECES) -> DataFrame:
-    total = left.count()
-    hot = publish(left.groupBy(*keys).agg(F.count("*").alias("_rows"))
-                  .where((F.col("_rows") * share >= F.lit(total)) & (F.col("_rows") > 1))
-                  .select(*keys, F.lit(True).alias("_hot")), "hot_keys")
+    """The shuffle side of ``lookup``; the big side is read once for its key counts and once for the join."""
+    counts = publish(left.groupBy(*keys).agg(F.count("*").alias("_rows")), "key_counts")
+    total = counts.agg(F.sum("_rows")).first()[0] or 0
+    hot = counts.where((F.col("_rows") * share >= F.lit(total)) & (F.col("_rows") > 1)).select(*keys, F.lit(True).alias("_hot"))
     piece = F.pmod(F.xxhash64(*row_id), F.lit(pieces)).cast("int")
     is_null = F.lit(False)
     for k in keys:

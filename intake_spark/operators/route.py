@@ -18,7 +18,7 @@ from .. import lexicon as L
 from ..functions import clean as C
 from ..functions import parse as P
 from ..session import publish
-from .evidence import Evidence, posterior, ranked
+from .evidence import Evidence, ranked
 from .lookups import lookup
 from .neighbors import nearest_phrase
 from .repair import hinglish_to_english, repair

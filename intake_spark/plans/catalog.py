@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 from .. import lexicon as L
 from ..functions import clean as C
-from ..functions import grams as G
 from ..functions import parse as P
 from ..operators import business as B
 from ..operators import evidence as E
@@ -26,7 +25,7 @@ from ..operators import repair as R
 from ..operators import splits as S
 from ..operators import stats as ST
 from ..operators import textmodel as TM
-from ..operators.route import clarifying_question, first_rule, matching_teams, route
+from ..operators.route import first_rule, matching_teams
 from ..session import publish, shared_dir, spread
 from ..sources import fixtures as X
 from ..sources import pack as K

@@ -5,8 +5,8 @@ from __future__ import annotations
 from intake_spark import lexicon as L
 from intake_spark.plans.catalog import PARAPHRASES
 
-from .base import (BEFORE, CV, FOLDED, GROUPED, HISTORY, OOT, REMARK, ROLLING, cascade, char_grams, english, first_rule,
-                   group_folds, learned, nearest, norm_sql, parse, percent, q, query, reasons_sql, rule_list, stable_hash, sub)
+from .base import (BEFORE, CV, FOLDED, GROUPED, OOT, REMARK, ROLLING, cascade, english, first_rule, group_folds, learned, nearest,
+                   parse, q, query, reasons_sql, rule_list, stable_hash)
 
 WHOLE = "select *, 0 as split from h"
 SQL: dict[str, str] = {}

@@ -114,3 +114,22 @@ def test_corrections_stream(spark, tmp_path):
     once = str(tmp_path / "once")
     O.corrections_stream(O.read_feedback(spark, str(source)), once, str(tmp_path / "o2"), dedupe=True).awaitTermination()
     assert spark.read.parquet(f"{once}/corrections").count() == 1
+
+
+def test_windowed_shares_drop_late_rows(spark, tmp_path):
+    """Append mode: a window is reported once the watermark has passed it, and later rows for it are not counted."""
+    source = tmp_path / "in"
+    source.mkdir()
+    schema = "at timestamp_ntz, route_type string"
+    batches = [[("2026-01-01T10:00:00", "vague"), ("2026-01-01T11:00:00", "seen")],
+               [("2026-01-05T00:00:00", "seen")],
+               [("2026-01-01T12:00:00", "vague"), ("2026-01-09T00:00:00", "seen")]]
+    stream = spark.readStream.schema(schema).json(str(source))
+    shares = O.shares_by_window(stream, "at")
+    for i, rows in enumerate(batches):
+        (source / f"{i}.json").write_text("\n".join(json.dumps({"at": a, "route_type": t}) for a, t in rows))
+        q = shares.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(
+            str(tmp_path / "out"), format="parquet")
+        q.awaitTermination()
+    got = {str(r.window_start)[:10]: (r.n, r.vague_share) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got["2026-01-01"] == (2, 0.5)
