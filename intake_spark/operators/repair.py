@@ -19,6 +19,7 @@ from .. import lexicon as L
 from ..functions import parse as P
 from ..session import publish
 from .lookups import lookup
+from .splits import stable_hash
 
 
 def hinglish_to_english(text: Column) -> Column:
@@ -153,7 +154,7 @@ def corrupt(text: Column, row_id: Column, p: float, seed: int = 0) -> Column:
     does not depend on partitioning and can be recomputed after a lost task.
     """
     def draw(i, what, n):
-        return F.pmod(F.xxhash64(row_id, i, F.lit(what), F.lit(seed)), F.lit(n)).cast("int")
+        return (stable_hash(row_id, i, F.lit(what), F.lit(seed)) % n).cast("int")
 
     def edit(w, i):
         at = draw(i, "at", 1_000_003) % F.length(w) + 1

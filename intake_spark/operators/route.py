@@ -255,9 +255,9 @@ def route(requests: DataFrame, evidence: Evidence, features=L.DEFAULT_FEATURES,
         new_conf = new_conf.when(F.col("route_detail") == name, conf)
     by_product = (F.col("_by_product").isNotNull() if "A1" in features else F.lit(False))
     rows = rows.withColumns({
-        "team": F.when(kind == "empty", F.col("pooled_team"))
+        "team": F.when(kind == "empty", F.coalesce("pooled_team", "clear_team"))
                  .when((kind == "vague") & by_product, F.try_element_at("_by_product", F.lit(1))["team"] if "A1" in features else F.lit(None))
-                 .when(kind == "vague", F.col("pooled_team"))
+                 .when(kind == "vague", F.coalesce("pooled_team", "clear_team"))
                  .when(kind == "seen", F.col("_seen_team"))
                  .otherwise(new_team),
         "_conf": F.when(kind == "empty", F.lit(0.0))
@@ -315,12 +315,16 @@ def clarifying_question(by_likelihood: bool) -> Column:
                      F.lit(t).alias("team")) for i, (l, t) in enumerate(L.CLARIFY_OPTIONS)]))
         liked = F.transform(scored, lambda o, i: F.struct(
             o["label"].alias("label"), o["team"].alias("team"),
-            (F.col("product_family").isNotNull() & (i < 3)).alias("likely")))
+            (_has_product() & (i < 3)).alias("likely")))
         plain = clarifying_question(False)["options"]
-        options = F.when(F.col("product_family").isNotNull(), liked).otherwise(plain)
+        options = F.when(_has_product(), liked).otherwise(plain)
     return F.struct(F.lit(L.CLARIFY_QUESTION).alias("question"), options.cast(OPTION).alias("options"))
 
 
+def _has_product() -> Column:
+    return F.coalesce(F.col("product_family") != "", F.lit(False))
+
+
 def option_shares() -> Column:
     """Likelihood of each team for the row's product; the pooled shares when the product is unknown."""
     pooled = F.transform("pooled_counts", lambda c: c / F.col("pooled_n"))

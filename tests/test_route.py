@@ -121,3 +121,20 @@ def test_save_and_load(spark, evidence, out, tmp_path):
     loaded = E.load(spark, str(tmp_path / "model"))
     text = TEXTS[6]
     assert decide(spark, loaded, [text])[text].team == out[text].team
+
+
+def test_history_without_vague_requests(spark, history, teams):
+    """Vague and empty messages still get a team and a question when history has no vague request."""
+    from pyspark.sql import functions as F
+    clear = E.fit(history.where(~F.col("text").rlike("query|issue|call back")), teams=teams)
+    out = decide(spark, clear, ["please call back regarding ceiling fan", ""])
+    for r in out.values():
+        assert r.team in L.TEAMS and r.needs_clarification and not r.auto_route
+
+
+def test_rows_without_an_outcome_teach_nothing(spark, history):
+    from pyspark.sql import functions as F
+    open_rows = history.withColumn("final_team_cur", F.lit(None).cast("string")).withColumn("request_id", F.concat(F.lit("X"), "request_id"))
+    a, b = E.fit(history, features=set()), E.fit(history.unionByName(open_rows), features=set())
+    key = lambda ev: sorted((r["last"], r.team, r.k, r.n) for r in ev.phrases.collect())
+    assert key(a) == key(b)
