@@ -128,5 +128,10 @@ def judge(df: DataFrame, text: str = "text", rules: list[Rule] | None = None) ->
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``df`` that pass, with the columns of ``df`` alone."""
-    return judge(df, text).where(F.col(OWN)["kept"]).drop(OWN)
+    """The rows of ``df`` that pass, with the columns of ``df`` alone.
+
+    A filter on the verdict would be pushed below the measures, which writes their expressions out once per use; a
+    generator in between keeps the measures evaluated once.
+    """
+    flag = f"{OWN}_kept"
+    return judge(df, text).select("*", F.explode(F.array(F.col(OWN)["kept"])).alias(flag)).where(F.col(flag)).drop(OWN, flag)
