@@ -7,11 +7,11 @@
   mean text length / 65,536 of N, at any N, which moves no weight but those next to the bound.
 * ``SAMPLES`` consistent samples per text form ``BANDS`` bands of ``ROWS``; texts that agree in a band meet in its bucket. Two texts
   of similarity 0.8 meet with probability 1 - (1 - 0.8 ** 3) ** 12 = 0.9998.
-* Texts with equal shingles and counts are one node. Within a bucket pivots are compared with the members of other classes, exactly, by weighted
-  Jaccard similarity over all shingles; linked nodes join classes, and members of one class are not compared again. The number of pivots of
-  a bucket doubles from round to round until every pair of its members has been compared or shares a class, so no link
-  is lost and a group of thousands of near copies costs about one comparison per member. Pivots with the largest buckets
-  come first; they are chosen by aggregation, never by sorting a bucket in one task.
+* Texts with equal shingles and counts are one node. Buckets that hold the same nodes are one bucket. A bucket is cut into blocks of about
+  ``BLOCK_NODES`` nodes, and every pair of blocks (also a block with itself) is one unit of work: all pairs of its nodes are compared exactly, by
+  weighted Jaccard similarity over all shingles, as a matrix product inside the task. Pairs never become rows; a unit returns
+  each node's class within the unit, one row per node. So a bucket of thousands takes many small tasks, none grows with it, and no link is lost.
+* Classes are the connected components of the links.
 
 Hashes of texts and shingles have 64 bits (32 for a shingle inside one comparison).
 
@@ -37,6 +37,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 SKETCH_ROWS, SKETCH_WIDTH, SKETCH_BLOCK = 2, 1 << 16, 1 << 11
+BLOCK_NODES, SLAB = 400, 4096
 COMMON = 3.0  # a shingle in more than 1 / COMMON of all texts loses weight
 U64 = np.uint64
 
@@ -187,54 +188,117 @@ def signatures(docs: DataFrame, shared) -> DataFrame:
 
 
 def vectors(joined: DataFrame, shared) -> DataFrame:
-    """node, its shingles as sorted 32-bit hashes, and weights unless all are 1; one row per node and task."""
+    """node, its elements as sorted 32-bit hashes, and their weights unless all are 1; one row per node and task.
+
+    The k-th occurrence of a shingle is an element of its own with the shingle's rarity as weight, so the smaller of two
+    weights of a shingle is the sum over common elements.
+    """
 
     def run(batches):
         done: set[int] = set()  # repeated rows meet in one task, as they share a doc_id
         for batch in batches:
             for block in W.blocks(batch.column(1), W.ALNUM, lower=True):
                 s = Shingles(block)
-                weight, own = weights(s, shared.value), s.keys()
+                rare, own = weights(s, shared.value) / s.count, s.keys()
                 want = np.array(batch.column(0).slice(block.first_row, block.rows))
-                node, shingle, heavy = [], [], []
+                node, element, heavy = [], [], []
                 for i in np.flatnonzero((own == want) & (own != 0)):
                     if int(own[i]) in done:
                         continue
                     done.add(int(own[i]))
                     part = slice(s.first[i], s.first[i + 1])
-                    small = (s.hash[part] >> U64(32)).astype(np.uint32)
+                    many = s.count[part]
+                    nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                    small = (W.mix(np.repeat(s.hash[part], many) + nth.astype(U64)) >> U64(32)).astype(np.uint32)
                     order = np.argsort(small, kind="stable")
                     node.append(int(own[i]))
-                    shingle.append(small[order].tobytes())
-                    w = weight[part][order]
+                    element.append(small[order].tobytes())
+                    w = np.repeat(rare[part], many).astype(np.float32)[order]
                     heavy.append(None if (w == 1).all() else w.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(shingle, pa.binary()), pa.array(heavy, pa.binary())], names=["node", "shingles", "weights"])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(element, pa.binary()), pa.array(heavy, pa.binary())], names=["node", "elements", "weights"])
+
+    return joined.select("node", "text").mapInArrow(run, "node long, elements binary, weights binary")
+
+
+def common_weight(elements: list[np.ndarray], heavy: list[np.ndarray]) -> np.ndarray:
+    """For each pair of rows the weight of their common elements, as matrix products over slabs of columns."""
+    n = len(elements)
+    value, at, count = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(e) for e in elements])
+    weight = np.concatenate(heavy)
+    shared = np.flatnonzero(count[at] > 1)  # an element of one row alone is common to no pair
+    number = np.cumsum(count > 1) - 1
+    column, row, weight = number[at[shared]], row[shared], weight[shared]
+    order = np.argsort(column, kind="stable")
+    column, row, weight = column[order], row[order], weight[order]
+    out = np.zeros((n, n), np.float32)
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, SLAB):
+        part = slice(*np.searchsorted(column, [low, low + SLAB]))
+        a = np.zeros((n, SLAB), np.float32)
+        a[row[part], column[part] - low] = np.sqrt(weight[part])
+        out += a @ a.T
+    return out
 
-    return joined.select("node", "text").mapInArrow(run, "node long, shingles binary, weights binary")
 
+def forest(elements: list[np.ndarray], heavy: list[np.ndarray], side: np.ndarray, cross: bool, threshold: float, nodes: list[int]) -> list[tuple[int, int]]:
+    """Classes over the pairs that reach the threshold, as (row, smallest node of its class); ``cross``: only pairs of different sides."""
+    total = np.array([w.sum() for w in heavy], np.float32)
+    common = common_weight(elements, heavy)
+    near = common >= (threshold - 1e-6) * (total[:, None] + total[None, :] - common)
+    if cross:
+        near &= side[:, None] != side[None, :]
+    root = np.arange(len(total))
+    for i in range(len(total)):
+        others = np.flatnonzero(near[i, i + 1:]) + i + 1
+        for r in np.unique(root[others]):
+            if r != root[i]:
+                root[root == r] = root[i]
+    named = np.array(nodes, np.int64)
+    out = []
+    for r in np.unique(root):
+        rows = np.flatnonzero(root == r)
+        low = int(named[rows].min())
+        out += [(int(x), low) for x in rows if named[x] != low]
+    return out
 
-def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
-    at = np.minimum(np.searchsorted(b, a), max(0, len(b) - 1))
-    both = np.flatnonzero(b[at] == a) if len(b) else np.empty(0, np.int64)
-    shared = float(np.minimum(wa[both], wb[at[both]]).sum())
-    return shared / max(float(wa.sum()) + float(wb.sum()) - shared, 1e-30)
 
+def unit_links(units: DataFrame, threshold: float) -> DataFrame:
+    """(node, smallest node of its class) in every unit; rows of a unit stand together in one partition."""
+    names = ["bucket", "i", "j", "side", "node", "elements", "weights"]
 
-def similarities(pairs: DataFrame) -> DataFrame:
-    def work(batch):
-        names = batch.schema.names
-        value = lambda n, i: batch.column(names.index(n))[i].as_py()
-        out = []
-        for i in range(batch.num_rows):
-            side = []
-            for n in ("1", "2"):
-                hashes = np.frombuffer(value("shingles" + n, i), np.uint32)
-                heavy = value("weights" + n, i)
-                side += [hashes, np.ones(len(hashes), np.float32) if heavy is None else np.frombuffer(heavy, np.float32)]
-            out.append(weighted_jaccard(*side))
-        yield {"a": batch.column(names.index("a")), "b": batch.column(names.index("b")), "similarity": out}
+    def run(batches):
+        def solved(rows):
+            parts = [(np.frombuffer(e, np.uint32), w) for _, _, e, w in rows]
+            elements = [e for e, _ in parts]
+            heavy = [np.ones(len(e), np.float32) if w is None else np.frombuffer(w, np.float32) for e, w in parts]
+            nodes = [r[1] for r in rows]
+            for x, low in forest(elements, heavy, np.array([r[0] for r in rows]), unit[1] != unit[2], threshold, nodes):
+                a.append(nodes[x])
+                b.append(low)
+
+        unit, rows, a, b = None, [], [], []
+        for batch in batches:
+            for r in zip(*(batch.column(batch.schema.names.index(n)).to_pylist() for n in names)):
+                if r[:3] != unit:
+                    if len(rows) > 1:
+                        solved(rows)
+                    unit, rows = r[:3], []
+                rows.append(r[3:])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a, b = [], []
+        if len(rows) > 1:
+            solved(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return units.select(names).mapInArrow(run, "a long, b long")
 
-    return in_arrow(pairs, "a long, b long, similarity double", work)
+
+def thinned(stars: DataFrame) -> DataFrame:
+    """Edges with the same components: each node to its smallest root, and that root to the node's other roots, which many nodes share."""
+    roots = publish(stars.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("roots")), "dup-roots-of")
+    first = roots.select("a", F.col("roots")[0].alias("b"))
+    rest = roots.where(F.size("roots") > 1).select(F.explode(F.slice("roots", F.lit(2), F.size("roots"))).alias("a"), F.col("roots")[0].alias("b"))
+    return first.union(rest.distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -261,39 +325,22 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     rows = publish(signatures(docs, shared), "dup-rows")
     nodes = rows.where("node != 0").groupBy("node").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.first("buckets").alias("buckets"))
     members = nodes.select("node", "doc_id", F.explode("buckets").alias("bucket"))
-    sizes = publish(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "dup-sizes")
+    # buckets of the same nodes: equal sizes and equal sums of two hashes
+    sums = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in (1, 2)]
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *sums).where("size > 1")
+    sizes = publish(sizes.groupBy("size", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "dup-sizes")
     members = publish(members.join(sizes, "bucket"), "dup-members")
-    lender = members.groupBy("node").agg(F.sum("size").alias("degree"), F.first("doc_id", ignorenulls=True).alias("lender"))
-    lender = publish(lender, "dup-nodes")
+    lender = publish(members.groupBy("node").agg(F.first("doc_id", ignorenulls=True).alias("lender")), "dup-nodes")
     vector = publish(vectors(docs.join(lender.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("lender"))), shared), "dup-vectors")
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK_NODES)).cast("int")
+    units = members.select("bucket", "node", blocks.alias("blocks")).withColumn("side", F.pmod(F.xxhash64("bucket", "node"), F.col("blocks")).cast("int"))
+    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = units.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node").join(vector, "node")
+    links = publish(unit_links(units.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), threshold), "dup-links")
     label = lender.select("node", F.col("node").alias("root"))
-    open_ = members.select("bucket", "node").join(lender.select("node", "degree"), "node").withColumn("tried", F.lit(False))
-    tested, links, pivots = None, None, 1
-    while True:
-        live = publish(open_.join(label, "node"), "dup-open")
-        still = live.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count_if(~F.col("tried")).alias("left"))
-        still = publish(still.where("lo < hi and left > 1").select("bucket"), "dup-live")
-        if still.isEmpty():
-            break
-        live = publish(live.join(still, "bucket"), "dup-open")
-        salted = live.where(~F.col("tried")).withColumn("part", F.pmod(F.xxhash64("node"), F.lit(pivots)))
-        pivot = salted.groupBy("bucket", "part").agg(F.max(F.struct("degree", "node", "root")).alias("p"))
-        pivot = publish(pivot.select("bucket", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root")), "dup-pivots")
-        met = live.select("bucket", "node", "root").join(pivot, "bucket").where("root != pivot_root")
-        pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        side = lambda n: vector.select(F.col("node").alias("ab"[n - 1]), F.col("shingles").alias(f"shingles{n}"), F.col("weights").alias(f"weights{n}"))
-        found = publish(similarities(pairs.join(side(1), "a").join(side(2), "b")), "dup-pairs")
-        tested = found.select("a", "b") if tested is None else tested.union(found.select("a", "b"))
-        new = found.where(F.col("similarity") >= threshold)
-        if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            root = components(links.select("a", "b"))
-            label = publish(lender.select("node").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "dup-roots")
-        tried = pivot.select("bucket", F.col("pivot").alias("node"), F.lit(True).alias("now"))
-        open_ = live.drop("root").join(tried, ["bucket", "node"], "left").withColumn("tried", F.col("tried") | F.coalesce("now", F.lit(False))).drop("now")
-        pivots *= 2
+    if not links.isEmpty():
+        root = components(thinned(links))
+        label = publish(lender.select("node").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "dup-roots")
     # a text without words is alone; nodes outside any bucket as well
     named = rows.join(label, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     named = publish(named, "dup-named")
