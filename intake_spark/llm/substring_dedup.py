@@ -26,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,8 +94,32 @@ def _flags(block: W.Block, places: pa.Array) -> np.ndarray:
 
 
 def _parts(batch: pa.RecordBatch):
-    for block in W.blocks(batch.column("text")):
-        yield block, batch.slice(block.first_row, block.rows)
+    """Blocks of a batch with their rows; packed texts are unpacked block by block."""
+    if "text" in batch.schema.names:
+        for block in W.blocks(batch.column("text")):
+            yield block, batch.slice(block.first_row, block.rows)
+        return
+    opener, rows = zstandard.ZstdDecompressor(), batch.column("packed").to_pylist()
+    first, texts, size = 0, [], 0
+    for k, raw in enumerate(rows):
+        texts.append(opener.decompress(raw))
+        size += len(texts[-1])
+        if size >= W.BLOCK or k == len(rows) - 1:
+            for block in W.blocks(pa.array(texts, pa.binary())):
+                yield block, batch.slice(first + block.first_row, block.rows)
+            first, texts, size = k + 1, [], 0
+
+
+def packed(docs: DataFrame, length: int) -> DataFrame:
+    """doc and compressed text, of texts that hold a full window; they move twice."""
+
+    def work(batch):
+        closer = zstandard.ZstdCompressor(level=6)
+        for block, part in _parts(batch):
+            rows = np.flatnonzero(block.last - block.first >= length)
+            yield {"doc": part.column("doc").take(pa.array(rows)), "packed": [closer.compress(block.text(i)) for i in rows]}
+
+    return in_arrow(docs.select("doc", "text"), "doc long, packed binary", work)
 
 
 def summaries(docs: DataFrame) -> DataFrame:
@@ -138,9 +163,9 @@ def with_candidates(joined: DataFrame, length: int) -> DataFrame:
                                                  pa.array((starts - block.first[doc]).astype(np.int32), pa.int32()))
                 take = pa.array(rows)
                 yield {"doc": part.column("doc").take(take), "key": part.column("key").take(take),
-                       "text": part.column("text").take(take), "starts": lists}
+                       "packed": part.column("packed").take(take), "starts": lists}
 
-    return in_arrow(joined.select("doc", "key", "alone", "text"), "doc long, key long, text string, starts array<int>", work)
+    return in_arrow(joined.select("doc", "key", "alone", "packed"), "doc long, key long, packed binary, starts array<int>", work)
 
 
 def window_rows(kept: DataFrame, length: int) -> DataFrame:
@@ -151,7 +176,7 @@ def window_rows(kept: DataFrame, length: int) -> DataFrame:
             yield {"a": W.run_hash(block.hashes(1), length)[at].view(np.int64), "b": W.run_hash(block.hashes(2), length)[at].view(np.int64),
                    "doc": np.array(part.column("doc"))[doc], "start": (at - block.first[doc]).astype(np.int32)}
 
-    return in_arrow(kept.select("doc", "text", "starts"), "a long, b long, doc long, start int", work)
+    return in_arrow(kept.select("doc", "packed", "starts"), "a long, b long, doc long, start int", work)
 
 
 def removals(kept: DataFrame, length: int) -> DataFrame:
@@ -172,7 +197,7 @@ def removals(kept: DataFrame, length: int) -> DataFrame:
                 left.append(int((~stay).sum()))
             yield {"doc": part.column("doc"), "key": part.column("key"), "n_removed": left, "kept_text": texts}
 
-    return in_arrow(kept.select("doc", "key", "text", "starts", "firsts"), "doc long, key long, n_removed long, kept_text string", work)
+    return in_arrow(kept.select("doc", "key", "packed", "starts", "firsts"), "doc long, key long, n_removed long, kept_text string", work)
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
@@ -185,7 +210,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
              .agg(F.min("key").alias("key"), F.max("key").alias("k2"), F.min("place").alias("place"), F.max("place").alias("p2"))
              .where("key = k2 and place = p2").groupBy("key").agg(F.collect_list("place").alias("alone")))
     known = leaders.where(F.col("n") >= length).join(alone, "key", "left").select("doc", "key", "alone")
-    kept = publish(with_candidates(docs.select("doc", "text").join(known.hint("shuffle_hash"), "doc"), length), "repeat-candidates")
+    kept = publish(with_candidates(packed(docs, length).join(known.hint("shuffle_hash"), "doc"), length), "repeat-candidates")
     # level 2: the first place of each full window, as one number that sorts by document and start
     at = F.col("doc").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("start").cast("decimal(10,0)")
     first = window_rows(kept, length).select("a", "b", at.alias("at")).groupBy("a", "b").agg(F.min("at").alias("at"))

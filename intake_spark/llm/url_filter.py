@@ -10,12 +10,12 @@ The tree is learned from all addresses; those that a rule fits are its labelled
 * the branches, sorted by their share of blocked examples, are merged with the next one unless a two-proportion test tells them apart
   (|z| > 1.96); a branch without examples has the node's share and is merged. A merged branch is named ``{a,b}``
 
-Segments from ``DEPTH`` on are one ``**``. A template is rejected when its smoothed purity, (blocked + 4 x share blocked anywhere) / (labelled + 4), reaches 0.8.
+Segments from ``DEPTH`` on are one ``**``. A template is rejected when its smoothed purity, (blocked + 2) / (labelled + 4), reaches 0.8.
 
 Addresses are counted once per host and path; only these narrow rows move, and a host with a third of all pages is split in the joins.
 
-Defined cases: empty host or path form templates as others do; a null page id stays; repeated rows give repeated rows; without any labelled
-example nothing is rejected; an empty table gives an empty result; other columns are ignored.
+Defined cases: empty host or path form templates as others do; a null page id stays; repeated rows give repeated rows; a template without labelled
+examples has purity 0.5 and is not rejected; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,9 +105,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, page_id: str =
     bad = F.coalesce(verdict_of(F.col("rule"), rules) == "block", F.lit(False))
     addresses = own.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count("rule").alias("labelled"), F.count_if(bad).alias("blocked"))
     placed = publish(templates(addresses), "url-templates")
-    sums = placed.agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("bad")).first()
-    prior = (sums.bad or 0) / sums.n if sums.n else 0.0
-    purity = placed.groupBy("host", "template").agg(((F.sum("blocked") + F.lit(SMOOTHING * prior)) / (F.sum("labelled") + F.lit(SMOOTHING))).alias("purity"))
+    purity = placed.groupBy("host", "template").agg(((F.sum("blocked") + F.lit(SMOOTHING / 2)) / (F.sum("labelled") + F.lit(SMOOTHING))).alias("purity"))
     purity = publish(purity, "url-purity")
     free = placed.where("labelled = 0").select("host", "path", "template").join(purity, ["host", "template"])
     free = publish(free, "url-free")
