@@ -118,7 +118,10 @@ def rejected_by(text: Column, measures: Column, rules: list[Rule]) -> Column:
 
 
 def judge(df: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
-    """All columns of ``df`` and ``__quality`` with the measures, ``base_failed`` and ``kept``."""
+    """All columns of ``df`` and ``__quality`` with the measures, ``base_failed`` and ``kept``.
+
+    To filter on the verdict use ``keep_good``, or write the result first: the optimizer copies the measures into a filter.
+    """
     rules = plan_cascade(df, text) if rules is None else rules
     t = F.coalesce(F.col(text), F.lit(""))
     out = with_measures(df, text)
