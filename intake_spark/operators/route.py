@@ -335,65 +335,65 @@ def option_shares() -> Column:
 def reasons(features) -> Column:
     """Plain-language reasons in a fixed order; parts that do not apply are left out."""
     kind, detail, team = F.col("route_type"), F.col("route_detail"), F.col("team")
-    asked = F.concat(F.lit("Customer asks: “"), F.col("last_shown"), F.lit("”."))
+    asked = F.concat(F.lit("Request: “"), F.col("last_shown"), F.lit("”."))
     read_as = F.when(F.col("_repaired"), F.concat(
-        F.lit("Read as “"), C.unmask(F.col("_last")), F.lit("” after correcting spelling / Hinglish.")))
+        F.lit("Taken as “"), C.unmask(F.col("_last")), F.lit("” with spelling and Hindi words put right.")))
     conf_pct = percent(F.col("_conf"))
     product_guess = F.concat(
-        F.lit("Best guess for a vague "), F.col("product_family"), F.lit(" request: "), team, F.lit(" (about "), conf_pct,
-        F.lit(", from "), thousands(F.col("product_n")), F.lit(" past vague "), F.col("product_family"),
-        F.lit(" requests). This is a guess: it was not proven better than the overall most common team ("),
-        F.col("pooled_team"), F.lit("), and no one can route this reliably from the text."))
+        F.lit("Unclear message about "), F.col("product_family"), F.lit(": tried first with "), team, F.lit(" ("), conf_pct,
+        F.lit(" of "), thousands(F.col("product_n")), F.lit(" like it for "), F.col("product_family"),
+        F.lit("). Only a starting point; over all products the usual team is "),
+        F.col("pooled_team"), F.lit(", and the words alone do not settle it."))
     pooled_guess = F.concat(
-        F.lit("Past requests like this ("), thousands(F.col("pooled_n")),
-        F.lit(") were closed by all seven teams; the most common was "), team, F.lit(" at only "), conf_pct,
-        F.lit(". Nobody can route this reliably from the text."))
+        F.lit("Unclear messages so far: "), thousands(F.col("pooled_n")),
+        F.lit("; every team got some, most went to "), team, F.lit(" with "), conf_pct,
+        F.lit(". The words alone do not settle it."))
     vague_guess = F.coalesce(F.when(F.col("_by_product").isNotNull(), product_guess), pooled_guess) \
         if "A1" in features else pooled_guess
-    checks = F.concat(F.lit("keyword rules: "), F.coalesce("rule_team", F.lit("no match")), F.lit("; closest known wording: "),
-                      F.coalesce("near_team", F.lit("none")), F.lit("; text model: "), F.col("fb_team"))
+    checks = F.concat(F.lit("rules say "), F.coalesce("rule_team", F.lit("nothing")), F.lit("; nearest text says "),
+                      F.coalesce("near_team", F.lit("none")), F.lit("; fallback says "), F.col("fb_team"))
     new_reason = (
         F.when(detail == "paraphrase", F.concat(
-            F.lit("Same meaning as the known wording “"), C.unmask(F.col("para_source")), F.lit("”, which "), team, F.lit(" closes.")))
+            F.lit("Listed as a rewording of “"), C.unmask(F.col("para_source")), F.lit("”, a matter for "), team, F.lit(".")))
         .when(detail == "similar", F.concat(
-            F.lit("Closest known wording: “"), C.unmask(F.col("near_key")), F.lit("” (similarity "), fixed(F.col("near_sim"), 2),
-            F.lit("), usually closed by "), team, F.lit(".")))
+            F.lit("Most similar earlier text: “"), C.unmask(F.col("near_key")), F.lit("” (score "), fixed(F.col("near_sim"), 2),
+            F.lit("), a matter for "), team, F.lit(".")))
         .when(detail == "vote", F.concat(
-            F.lit("This wording is new. "), F.col("_agree").cast("string"), F.lit(" of 3 checks agree on "), team, F.lit(" ("), checks, F.lit(").")))
+            F.lit("Not seen before. "), F.col("_agree").cast("string"), F.lit(" of three votes go to "), team, F.lit(" ("), checks, F.lit(").")))
         .when(detail == "vote_split", F.concat(
-            F.lit("This wording is new and the checks disagree ("), checks, F.lit("). Check with the customer.")))
+            F.lit("Not seen before, and the votes differ ("), checks, F.lit("). Please ask back.")))
         .when(detail == "rules", F.concat(
-            F.lit("This wording is new to the router. It reads as "), F.col("rule_label"), F.lit(", which "), team, F.lit(" handles.")))
+            F.lit("Not seen before; its words point to "), F.col("rule_label"), F.lit(", so "), team, F.lit(" takes it.")))
         .when(detail == "rules_conflict", F.concat(
-            F.lit("This wording is new to the router and reads two ways: as "), F.col("rule_label"), F.lit(" ("), team,
-            F.lit(") or as a matter for "), F.array_join("rule_others", ", "), F.lit(". Check with the customer.")))
+            F.lit("Not seen before; its words point to "), F.col("rule_label"), F.lit(" ("), team,
+            F.lit(") but also to "), F.array_join("rule_others", ", "), F.lit(". Please ask back.")))
         .when(detail == "model", F.lit(
-            "This wording is new to the router and no keyword matched; this is the text model's best guess.")))
+            "Not seen before and no rule fits; the fallback decided.")))
     two_share = F.when(F.col("two_n") > 0, F.concat(percent(F.col("two_k") / F.col("two_n")), F.lit(" of "),
                                                     thousands(F.col("two_n")))).otherwise(F.lit("most"))
     first_shown = F.when(F.size("shown") >= 2, F.col("first_shown")).otherwise(F.col("_first"))
     two = (
         F.when((F.col("_n") >= 2) & kind.isin("seen", "new_wording"), F.concat(
-            F.lit("The message has "), F.col("_n").cast("string"), F.lit(" requests (“"), first_shown, F.lit("”, then “"),
-            F.col("last_shown"), F.lit("”). The last one decides: that is how "), two_share,
-            F.lit(" past two-request messages were closed. Mention the earlier request to the "), team, F.lit(" agent.")))
+            F.col("_n").cast("string"), F.lit(" requests in one message (“"), first_shown, F.lit("” before “"),
+            F.col("last_shown"), F.lit("”). The later one counts, as in "), two_share,
+            F.lit(" earlier cases with two. Pass the first one on to "), team, F.lit(" as well.")))
         .when((F.col("_n") >= 2) & (kind == "vague"), F.concat(
-            F.lit("An earlier part of the message mentions “"), F.col("first_shown"),
-            F.lit("”, but past outcomes show that does not predict the closing team once the message ends vaguely."))))
+            F.lit("Before that it says “"), F.col("first_shown"),
+            F.lit("”; in earlier cases this did not tell who closed an unclear message."))))
     history = F.when(F.col("pay_n") > 0, F.concat(
-        F.lit(" The old bot sent "), thousands(F.col("pay_bot")), F.lit(" of "), thousands(F.col("pay_n")),
-        F.lit(" such past requests to Billing; Billing closed "), thousands(F.col("pay_closed")), F.lit(" of them."))).otherwise(F.lit(""))
+        F.lit(" First sent to Billing: "), thousands(F.col("pay_bot")), F.lit(" of "), thousands(F.col("pay_n")),
+        F.lit(" earlier ones; closed there: "), thousands(F.col("pay_closed")), F.lit("."))).otherwise(F.lit(""))
     paid = F.when(F.col("_remark").isNotNull() & (team != "Billing"), F.concat(
-        F.lit("Mentions “"), F.col("_remark"), F.lit("”. Saying they paid does not make it a Billing request (ops policy §3)."), history))
-    handles = F.when(F.col("handles").isNotNull() & (kind != "vague"), F.concat(team, F.lit(" handles: "), F.col("handles")))
+        F.lit("Payment remark “"), F.col("_remark"), F.lit("” does not decide the team."), history))
+    handles = F.when(F.col("handles").isNotNull() & (kind != "vague"), F.concat(F.lit("Work of "), team, F.lit(": "), F.col("handles")))
     return F.array_compact(F.array(
-        F.when(kind == "empty", F.lit("The message is empty, so there is nothing to route on. Ask the customer what they need.")),
-        F.when(kind == "vague", F.concat(F.lit("The customer does not say what the problem is (“"), F.col("last_shown"), F.lit("”)."))),
+        F.when(kind == "empty", F.lit("Empty message. Please ask for the need.")),
+        F.when(kind == "vague", F.concat(F.lit("No need is stated (“"), F.col("last_shown"), F.lit("”)."))),
         F.when(kind == "vague", vague_guess),
-        F.when(kind == "vague", F.lit("Ask the one question below before assigning, or let the first agent re-route after the call.")),
+        F.when(kind == "vague", F.lit("Put the question to the sender first; otherwise correct the team after the first contact.")),
         F.when(kind.isin("seen", "new_wording"), asked),
         F.when(kind.isin("seen", "new_wording"), read_as),
-        F.when(kind == "seen", F.concat(thousands(F.col("_seen_n")), F.lit(" past requests with this wording: "),
-                                        share_text(F.col("_seen_k"), F.col("_seen_n")), F.lit(" were closed by "), team, F.lit("."))),
+        F.when(kind == "seen", F.concat(thousands(F.col("_seen_n")), F.lit(" earlier requests read the same; "),
+                                        share_text(F.col("_seen_k"), F.col("_seen_n")), F.lit(" of them ended at "), team, F.lit("."))),
         F.when(kind == "new_wording", new_reason),
         two, paid, handles))

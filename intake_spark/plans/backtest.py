@@ -110,11 +110,11 @@ def random_team(row_id: Column, counts: Column, n: Column, seed: int = 0) -> Col
 
 
 VAGUE_RULES = {
-    "always the most common team": "rule_pooled",
-    "most common team for the product": "rule_product",
-    "product, rebalanced (gamma=0.5)": "rule_rebalanced_half",
-    "product, rebalanced (gamma=1.0)": "rule_rebalanced_full",
-    "random in proportion to past outcomes": "rule_random",
+    "pooled": "rule_pooled",
+    "by product": "rule_product",
+    "by product, half rebalanced": "rule_rebalanced_half",
+    "by product, fully rebalanced": "rule_rebalanced_full",
+    "hashed draw": "rule_random",
 }
 
 
@@ -183,14 +183,14 @@ def challenger_rows(history: DataFrame, features=L.DEFAULT_FEATURES, fallback=ma
     ruled = with_vague_rules(decided, evidence, recent_vague(*scheme))
     keep = ["split", "request_id", "final_team_cur", "route_type"]
     long = as_long(ruled, {
-        "C0 champion": "team", "C1 vague prior by product": "rule_product",
-        "C2 vague prior, last 6 months": "rule_recent", "C3 vague prior by product x warranty": "rule_product_warranty",
+        "cascade": "team", "unclear: product": "rule_product",
+        "unclear: half a year": "rule_recent", "unclear: product and cover": "rule_product_warranty",
     }, keep)
     # the other minimum supports re-read the same counts; the route type stays the champion's
     for k in (1, 10):
         other = run(scheme, features, fallback=fallback, evidence=evidence.with_support(k)).select(
             "split", "request_id", F.col("team").alias("pred"))
-        long = long.unionByName(decided.select(*keep).join(other, ["split", "request_id"]).withColumn("model", F.lit(f"C4 MIN_SUPPORT={k}")))
+        long = long.unionByName(decided.select(*keep).join(other, ["split", "request_id"]).withColumn("model", F.lit(f"support {k}")))
     return long
 
 
@@ -244,8 +244,8 @@ def robustness(scheme: tuple[DataFrame, S.Splits], rules) -> DataFrame:
     """Mean and spread over folds of the decision rules for vague requests."""
     evidence = E.fit(scheme[0], splits=scheme[1], features={"A1"}, parsed=True)
     ruled = with_vague_rules(publish(run(scheme, {"A1"}, rules, evidence=evidence), "robust"), evidence)
-    long = as_long(ruled, {"C0 champion": "team", "pooled": "rule_pooled", "C1 vague prior by product": "rule_product",
-                           "C3 vague prior by product x warranty": "rule_product_warranty"},
+    long = as_long(ruled, {"cascade": "team", "pooled": "rule_pooled", "unclear: product": "rule_product",
+                           "unclear: product and cover": "rule_product_warranty"},
                    ["split", "request_id", "final_team_cur", "route_type"])
     per = long.groupBy("model", "split").agg(F.avg(M.right("pred")).alias("acc"))
     return per.groupBy("model").agg(F.avg("acc").alias("acc"), F.stddev_samp("acc").alias("sd"))
@@ -253,16 +253,16 @@ def robustness(scheme: tuple[DataFrame, S.Splits], rules) -> DataFrame:
 
 # ------------------------------------------------------------------------------------ switches
 VARIANTS = {
-    "R3 (no switches)": frozenset(),
-    "A1 vague guess by product": frozenset({"A1"}),
-    "B1 fuzzy match": frozenset({"B1"}),
-    "B2 combined fallback": frozenset({"B2"}),
-    "B3 paraphrase lookup": frozenset({"B3"}),
-    "B4 Hinglish + spelling repair": frozenset({"B4"}),
-    "B1+B2+B3+B4": frozenset({"B1", "B2", "B3", "B4"}),
-    "ALL (A1 B1 B2 B3 B4 C2)": L.ALL_FEATURES,
+    "plain": frozenset(),
+    "A1": frozenset({"A1"}),
+    "B1": frozenset({"B1"}),
+    "B2": frozenset({"B2"}),
+    "B3": frozenset({"B3"}),
+    "B4": frozenset({"B4"}),
+    "B1 to B4": frozenset({"B1", "B2", "B3", "B4"}),
+    "all switches": L.ALL_FEATURES,
 }
-BASE_VARIANT = "R3 (no switches)"
+BASE_VARIANT = "plain"
 
 
 def switch_rows(scheme: tuple[DataFrame, S.Splits], paraphrases: DataFrame | None, variants=None, rules=None,
@@ -375,8 +375,8 @@ def option_coverage(scored_vague: DataFrame, evidence: E.Evidence) -> DataFrame:
     prior = F.transform("pooled_counts", lambda c: c / F.col("pooled_n"))
     first3 = lambda v: F.transform(F.slice(E.ranked(v), 1, 3), lambda s: s["team"])
     fixed = F.array(*[F.lit(t) for _, t in L.CLARIFY_OPTIONS[:3]])
-    orders = [("fixed order", fixed), ("pooled likelihood order", first3(prior)),
-              ("product likelihood order", first3(F.coalesce("post", prior)))]
+    orders = [("as listed", fixed), ("pooled shares", first3(prior)),
+              ("product shares", first3(F.coalesce("post", prior)))]
     one = rows.agg(F.count("*").alias("n"), *[F.avg(F.array_contains(o, F.col("final_team_cur")).cast("int")).alias(f"c{i}")
                                              for i, (_, o) in enumerate(orders)])
     return one.select("n", F.explode(F.array(*[F.struct(F.lit(name).alias("option_order"), F.col(f"c{i}").alias("covered"))

@@ -38,8 +38,8 @@ QUERIES: dict[str, Query] = {}
 
 # wording of the paraphrase dimension: (known wording, paraphrase)
 PARAPHRASES = [
-    ("invoice not received for P", "my bill never arrived for the water purifier"),
-    ("installer did not turn up for P", "the fitting guy never came for my water purifier"),
+    ("invoice not received with the P", "no bill came along for the water purifier"),
+    ("installer did not turn up with the P", "the setup man stayed away with the water purifier"),
 ]
 
 
@@ -567,7 +567,7 @@ def occurrence_rank(spark, sf):
 
 @query
 def champion_challengers(spark, sf):
-    return BT.compare(challengers(spark, sf), "C0 champion").select(
+    return BT.compare(challengers(spark, sf), "cascade").select(
         "model", "n", "pooled_acc", "clear", "vague", "delta_pts", "wins", "losses", "p", "p_holm")
 
 
@@ -578,7 +578,7 @@ def challenger_folds(spark, sf):
 
 @query
 def challenger_winners(spark, sf):
-    return BT.beats_champion(BT.compare(challengers(spark, sf), "C0 champion")).select("model", "delta_pts", "p_holm")
+    return BT.beats_champion(BT.compare(challengers(spark, sf), "cascade")).select("model", "delta_pts", "p_holm")
 
 
 @query

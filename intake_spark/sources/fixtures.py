@@ -17,36 +17,36 @@ FAMILIES = [
 ]
 # wording with the product as <p>, and the team that closes it
 CLEAR = [
-    ("<p> leaking water from bottom", "Repairs"),
-    ("motor of <p> burnt smell", "Repairs"),
-    ("<p> not turning on", "Repairs"),
-    ("invoice not received for <p>", "Billing"),
-    ("charged twice for my <p> order", "Billing"),
-    ("<p> arrived damaged, need replacement", "Returns & Replacement"),
-    ("wrong model of <p> delivered", "Returns & Replacement"),
-    ("installer did not turn up for <p>", "Installs & Demo"),
-    ("want to reschedule installation of <p>", "Installs & Demo"),
-    ("need warranty certificate <p>", "Warranty Claims"),
-    ("is <p> covered under shield plan", "Warranty Claims"),
-    ("need replacement filter for <p>", "Filters & Consumables"),
-    ("want AMC filter kit for <p>", "Filters & Consumables"),
-    ("how to clean <p>", "Product Advice"),
-    ("is <p> safe for kids", "Product Advice"),
-    ("box was open, <p> scratched", "Returns & Replacement"),
-    ("warranty rejected for <p>, why", "Warranty Claims"),
+    ("leaking water under the <p> all night", "Repairs"),
+    ("burnt smell from the <p> cable", "Repairs"),
+    ("<p> not turning on since monday", "Repairs"),
+    ("invoice not received with the <p>", "Billing"),
+    ("<p> charged twice last month", "Billing"),
+    ("lid of <p> arrived damaged, need replacement", "Returns & Replacement"),
+    ("got the wrong model of <p> today", "Returns & Replacement"),
+    ("installer did not turn up with the <p>", "Installs & Demo"),
+    ("move the installation of <p> to sunday", "Installs & Demo"),
+    ("send the warranty card of <p>", "Warranty Claims"),
+    ("does shield pay for a <p>", "Warranty Claims"),
+    ("two spare filters for <p>", "Filters & Consumables"),
+    ("price of a membrane for <p>", "Filters & Consumables"),
+    ("how to clean the <p> tray", "Product Advice"),
+    ("<p> safe for kids or not", "Product Advice"),
+    ("seal cut, <p> scratched", "Returns & Replacement"),
+    ("shield refused for <p>, why", "Warranty Claims"),
 ]
-VAGUE = ["please call back regarding <p>", "issue with <p>", "<p> query"]
+VAGUE = ["complaint about <p>", "need help with my <p>", "<p> problem"]
 # wording that first appears in April 2026: (order key divisor, remainder, wording, closing team)
 LATE = [
-    (61, 0, "the jar lid of my <p> cracked on day two", "Repairs"),
-    (67, 0, "the installation guy never showed up for my new <p>", "Installs & Demo"),
-    (71, 0, "mera <p> kharab ho gaya", "Repairs"),
-    (71, 1, "<p> ka bill nahi mila", "Billing"),
-    (73, 0, "motor of <p> brnt smel", "Repairs"),
-    (79, 0, "hello there about the <p>", "Product Advice"),
-    (101, 0, "my bill never arrived for the <p>", "Billing"),
-    (103, 0, "wrong model of the <p> was delivered to me", "Returns & Replacement"),
-    (107, 0, "call karo <p>", "Repairs"),
+    (61, 0, "brush holder on the <p> shows a crack", "Repairs"),
+    (67, 0, "nobody came for the installation at my flat of the <p>", "Installs & Demo"),
+    (71, 0, "<p> kaam nahi kar raha", "Repairs"),
+    (71, 1, "<p> ke saath bill nahi mila", "Billing"),
+    (73, 0, "brnt smel from the <p> cable", "Repairs"),
+    (79, 0, "hello again regarding this <p>", "Product Advice"),
+    (101, 0, "no bill came along for the <p>", "Billing"),
+    (103, 0, "got the wrong model of the <p> again today", "Returns & Replacement"),
+    (107, 0, "phone kijiye <p>", "Repairs"),
 ]
 EMPTY_DIVISOR = 97
 GREETINGS = ["", "hi, ", "namaste, ", "urgent: ", "sir "]

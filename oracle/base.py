@@ -325,35 +325,35 @@ def share_text(k: str, n: str) -> str:
 
 def reasons_sql() -> str:
     """The reasons of a routed row (default switches) joined by '|'."""
-    read_as = "case when note is not null then 'Read as “' || replace(d_last, 'P', 'product') || '” after correcting spelling / Hinglish.' end"
-    product = (f"'Best guess for a vague ' || product_family || ' request: ' || team || ' (about ' || {percent('conf')} || ', from ' || "
-               "format('{:,}', pm_n::bigint) || ' past vague ' || product_family || ' requests). This is a guess: it was not proven better than "
-               "the overall most common team (' || pl_team || '), and no one can route this reliably from the text.'")
-    pooled = (f"'Past requests like this (' || format('{{:,}}', pl_n::bigint) || ') were closed by all seven teams; the most common was ' || team "
-              f"|| ' at only ' || {percent('conf')} || '. Nobody can route this reliably from the text.'")
-    new = ("case route_detail when 'rules' then 'This wording is new to the router. It reads as ' || rule_label || ', which ' || team || ' handles.' "
-           "when 'rules_conflict' then 'This wording is new to the router and reads two ways: as ' || rule_label || ' (' || team || "
-           "') or as a matter for ' || array_to_string(rule_others, ', ') || '. Check with the customer.' "
-           "when 'model' then 'This wording is new to the router and no keyword matched; this is the text model''s best guess.' end")
-    two = (f"case when d_n >= 2 and route_type in ('seen', 'new_wording') then 'The message has ' || d_n || ' requests (“' || "
-           "case when len(shown) >= 2 then first_shown else d_first end || '”, then “' || last_shown || '”). The last one decides: that is how ' "
+    read_as = "case when note is not null then 'Taken as “' || replace(d_last, 'P', 'product') || '” with spelling and Hindi words put right.' end"
+    product = (f"'Unclear message about ' || product_family || ': tried first with ' || team || ' (' || {percent('conf')} || ' of ' || "
+               "format('{:,}', pm_n::bigint) || ' like it for ' || product_family || '). Only a starting point; over all products the usual "
+               "team is ' || pl_team || ', and the words alone do not settle it.'")
+    pooled = (f"'Unclear messages so far: ' || format('{{:,}}', pl_n::bigint) || '; every team got some, most went to ' || team "
+              f"|| ' with ' || {percent('conf')} || '. The words alone do not settle it.'")
+    new = ("case route_detail when 'rules' then 'Not seen before; its words point to ' || rule_label || ', so ' || team || ' takes it.' "
+           "when 'rules_conflict' then 'Not seen before; its words point to ' || rule_label || ' (' || team || "
+           "') but also to ' || array_to_string(rule_others, ', ') || '. Please ask back.' "
+           "when 'model' then 'Not seen before and no rule fits; the fallback decided.' end")
+    two = (f"case when d_n >= 2 and route_type in ('seen', 'new_wording') then d_n || ' requests in one message (“' || "
+           "case when len(shown) >= 2 then first_shown else d_first end || '” before “' || last_shown || '”). The later one counts, as in ' "
            f"|| case when two_n > 0 then {percent('two_k / two_n')} || ' of ' || format('{{:,}}', two_n::bigint) else 'most' end || "
-           "' past two-request messages were closed. Mention the earlier request to the ' || team || ' agent.' "
-           "when d_n >= 2 and route_type = 'vague' then 'An earlier part of the message mentions “' || first_shown || "
-           "'”, but past outcomes show that does not predict the closing team once the message ends vaguely.' end")
-    paid = ("case when remark is not null and team <> 'Billing' then 'Mentions “' || remark || '”. Saying they paid does not make it a Billing "
-            "request (ops policy §3).' || case when pay_n > 0 then ' The old bot sent ' || format('{:,}', pay_bot::bigint) || ' of ' || "
-            "format('{:,}', pay_n::bigint) || ' such past requests to Billing; Billing closed ' || format('{:,}', pay_closed::bigint) || ' of them.' "
+           "' earlier cases with two. Pass the first one on to ' || team || ' as well.' "
+           "when d_n >= 2 and route_type = 'vague' then 'Before that it says “' || first_shown || "
+           "'”; in earlier cases this did not tell who closed an unclear message.' end")
+    paid = ("case when remark is not null and team <> 'Billing' then 'Payment remark “' || remark || '” does not decide "
+            "the team.' || case when pay_n > 0 then ' First sent to Billing: ' || format('{:,}', pay_bot::bigint) || ' of ' || "
+            "format('{:,}', pay_n::bigint) || ' earlier ones; closed there: ' || format('{:,}', pay_closed::bigint) || '.' "
             "else '' end end")
     return f"""concat_ws('|',
-      case when route_type = 'empty' then 'The message is empty, so there is nothing to route on. Ask the customer what they need.' end,
-      case when route_type = 'vague' then 'The customer does not say what the problem is (“' || last_shown || '”).' end,
+      case when route_type = 'empty' then 'Empty message. Please ask for the need.' end,
+      case when route_type = 'vague' then 'No need is stated (“' || last_shown || '”).' end,
       case when route_type = 'vague' and pm_team is not null then {product} when route_type = 'vague' then {pooled} end,
-      case when route_type = 'vague' then 'Ask the one question below before assigning, or let the first agent re-route after the call.' end,
-      case when route_type in ('seen', 'new_wording') then 'Customer asks: “' || last_shown || '”.' end,
+      case when route_type = 'vague' then 'Put the question to the sender first; otherwise correct the team after the first contact.' end,
+      case when route_type in ('seen', 'new_wording') then 'Request: “' || last_shown || '”.' end,
       case when route_type in ('seen', 'new_wording') then {read_as} end,
-      case when route_type = 'seen' then format('{{:,}}', s_n::bigint) || ' past requests with this wording: ' || {share_text('s_k', 's_n')} ||
-           ' were closed by ' || team || '.' end,
+      case when route_type = 'seen' then format('{{:,}}', s_n::bigint) || ' earlier requests read the same; ' || {share_text('s_k', 's_n')} ||
+           ' of them ended at ' || team || '.' end,
       case when route_type = 'new_wording' then {new} end, {two}, {paid})"""
 
 

@@ -236,9 +236,9 @@ SQL["clarify_projection"] = query(f"""
 select {r('v')} as vague_share, {r('c')} as clear_accuracy, {r('(1 - v) * c + v * c')} as projected from (
   select avg(cast(route_type = 'vague' as int)) as v, avg({OK}) filter (route_type <> 'vague') as c from routed)""", *routed())
 SQL["option_coverage"] = query(f"""
-select count(*) as n, 'fixed order' as option_order, {r('avg(cast(list_contains(' + str([t for _, t in L.CLARIFY_OPTIONS[:3]]) + ', final_team_cur) as int))')} as covered from vr
-union all select count(*), 'pooled likelihood order', {r('avg(cast(list_contains(pl_alts, final_team_cur) as int))')} from vr
-union all select count(*), 'product likelihood order', {r('avg(cast(list_contains(pm_alts, final_team_cur) as int))')} from vr""",
+select count(*) as n, 'as listed' as option_order, {r('avg(cast(list_contains(' + str([t for _, t in L.CLARIFY_OPTIONS[:3]]) + ', final_team_cur) as int))')} as covered from vr
+union all select count(*), 'pooled shares', {r('avg(cast(list_contains(pl_alts, final_team_cur) as int))')} from vr
+union all select count(*), 'product shares', {r('avg(cast(list_contains(pm_alts, final_team_cur) as int))')} from vr""",
     learned(ROLLING[0]), f"""vr as (select s.*, pl.pl_alts[1:3] as pl_alts, coalesce(pm.pm_alts, pl.pl_alts[1:3]) as pm_alts
     from ({ROLLING[1]}) s join pl using (split) left join pm on pm.split = s.split and pm.product_family = s.product_family where s.vague)""")
 
@@ -284,9 +284,9 @@ ruled as (select r.* exclude (team), r.team as base_team, rnd.rnd_team, pm.pm_te
   left join pboth b on b.split = r.split and b.product_family = r.product_family),
 long as (
   {' union all '.join(f"select {q(n)} as rule, final_team_cur, route_type, case when route_type = 'vague' then {c} else base_team end as team from ruled"
-                      for n, c in (("always the most common team", "pl_team"), ("most common team for the product", "coalesce(prod_team, pl_team)"),
-                                   ("product, rebalanced (gamma=0.5)", "half_team"), ("product, rebalanced (gamma=1.0)", "full_team"),
-                                   ("random in proportion to past outcomes", "rnd_team")))}),
+                      for n, c in (("pooled", "pl_team"), ("by product", "coalesce(prod_team, pl_team)"),
+                                   ("by product, half rebalanced", "half_team"), ("by product, fully rebalanced", "full_team"),
+                                   ("hashed draw", "rnd_team")))}),
 miss as (select avg({COST}) filter ({MIS}) as cost from h)"""
 SQL["vague_rule_costs"] = query(f"""
 select l.rule, {r('l.accuracy')} as accuracy, {r('m.macro_f1')} as macro_f1, {r('l.vague_accuracy')} as vague_accuracy,
@@ -375,21 +375,21 @@ champ as (select r.split, r.request_id, r.final_team_cur, r.route_type, r.team,
   left join w2m on w2m.split = r.split and w2m.product_family = r.product_family and w2m.warranty_status = r.warranty_status
   left join rtop on rtop.split = r.split),
 rowsl as (
-  select split, request_id, final_team_cur, route_type, 'C0 champion' as model, team from champ
-  union all select split, request_id, final_team_cur, route_type, 'C1 vague prior by product', case when route_type = 'vague' then coalesce(prod_team, pl_team) else team end from champ
-  union all select split, request_id, final_team_cur, route_type, 'C2 vague prior, last 6 months', case when route_type = 'vague' then coalesce(recent_team, team) else team end from champ
-  union all select split, request_id, final_team_cur, route_type, 'C3 vague prior by product x warranty', case when route_type = 'vague' then coalesce(pw_team, pl_team) else team end from champ
-  union all select c.split, c.request_id, c.final_team_cur, c.route_type, 'C4 MIN_SUPPORT=1', o.team from champ c join routed_1 o using (split, request_id)
-  union all select c.split, c.request_id, c.final_team_cur, c.route_type, 'C4 MIN_SUPPORT=10', o.team from champ c join routed_10 o using (split, request_id))"""
+  select split, request_id, final_team_cur, route_type, 'cascade' as model, team from champ
+  union all select split, request_id, final_team_cur, route_type, 'unclear: product', case when route_type = 'vague' then coalesce(prod_team, pl_team) else team end from champ
+  union all select split, request_id, final_team_cur, route_type, 'unclear: half a year', case when route_type = 'vague' then coalesce(recent_team, team) else team end from champ
+  union all select split, request_id, final_team_cur, route_type, 'unclear: product and cover', case when route_type = 'vague' then coalesce(pw_team, pl_team) else team end from champ
+  union all select c.split, c.request_id, c.final_team_cur, c.route_type, 'support 1', o.team from champ c join routed_1 o using (split, request_id)
+  union all select c.split, c.request_id, c.final_team_cur, c.route_type, 'support 10', o.team from champ c join routed_10 o using (split, request_id))"""
 CH = [RECENT, *routed(ROLLING), support_rows(1), support_rows(10), CHALLENGERS]
 SQL["champion_challengers"] = query(f"""
 select c.model, n, {r('pooled_acc')} as pooled_acc, {r('clear')} as clear, {r('vague')} as vague, {r('delta_pts')} as delta_pts, wins, losses,
-       {r('p')} as p, {r('p_holm')} as p_holm from cmp2 c left join cmph using (model)""", *CH, paired("C0 champion"))
+       {r('p')} as p, {r('p_holm')} as p_holm from cmp2 c left join cmph using (model)""", *CH, paired("cascade"))
 SQL["challenger_folds"] = query("select model, " + ", ".join(
     f"{r(f'avg({OK}) filter (split = {i})')} as acc_{n.lower().replace('-', '_').replace(' ', '_')}" for i, (n, _, _) in enumerate(L.QUARTERS))
     + " from rowsl group by model", *CH)
 SQL["challenger_winners"] = query(f"""select c.model, {r('delta_pts')} as delta_pts, {r('p_holm')} as p_holm from cmp2 c join cmph using (model)
-    where delta_pts > 0 and p_holm < 0.05""", *CH, paired("C0 champion"))
+    where delta_pts > 0 and p_holm < 0.05""", *CH, paired("cascade"))
 
 from intake_spark.plans.backtest import BASE_VARIANT, VARIANTS  # noqa: E402  (names and switch sets only)
 
@@ -459,7 +459,7 @@ SQL["challenger_robustness"] = query(" union all ".join(f"""
 select {q(m)} as model, {r('avg(a)')} as acc, {r('stddev_samp(a)')} as sd, {q(scheme)} as scheme from (
   select split, avg(cast(coalesce((case when route_type = 'vague' then {col} else c0 end) = final_team_cur, false) as int)) as a from {cte} group by split)"""
     for scheme, cte in (("B 5-fold CV", "rbb"), ("C unseen wording", "rbc"))
-    for m, col in (("C0 champion", "c0"), ("pooled", "pooled"), ("C1 vague prior by product", "c1"), ("C3 vague prior by product x warranty", "c3"))),
+    for m, col in (("cascade", "c0"), ("pooled", "pooled"), ("unclear: product", "c1"), ("unclear: product and cover", "c3"))),
     FOLDED, group_folds("last"), robust("rbb", CV, L.KEYWORD_RULES), robust("rbc", GROUPED, L.TEAM_WORD_RULES))
 
 REWRITES = (("not turning on", "chalu nahi ho raha"), ("leaking water", "paani tapak raha hai"),

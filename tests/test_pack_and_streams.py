@@ -90,7 +90,7 @@ def test_contract(spark):
 def test_request_stream(spark, evidence, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
-    texts = ["motor of air fryer burnt smell", "please call back regarding air fryer", ""]
+    texts = ["burnt smell from the air fryer cable", "please call back regarding air fryer", ""]
     (source / "1.json").write_text("\n".join(json.dumps({"request_id": f"R{i}", "request_text": t}) for i, t in enumerate(texts)))
     stream = spark.readStream.schema("request_id string, request_text string, product_family string").json(str(source))
     out = str(tmp_path / "out")

@@ -13,17 +13,17 @@ def decide(spark, evidence, texts, product="Water Purifier", **kw):
 
 
 TEXTS = [
-    "good morning, motor of mixer grinder burnt smell",
-    "water purifier not turning on already paid in full",
-    "charged twice for my air fryer order, paid via card",
-    "how to clean air fryer, invoice not received for air fryer",
-    "invoice not received for air fryer, how to clean air fryer",
+    "good morning, burnt smell from the mixer grinder cable",
+    "water purifier not turning on since monday already paid in full",
+    "air fryer charged twice last month, paid via card",
+    "how to clean the air fryer tray, invoice not received with the air fryer",
+    "invoice not received with the air fryer, how to clean the air fryer tray",
     "urgent: please call back regarding ceiling fan",
-    "the installation guy never showed up for my new heater",
-    "the jar lid of my mixer cracked on day two",
+    "nobody came for the installation at my flat of the heater",
+    "brush holder on the mixer shows a crack",
     "", "   ", "???", "Ã©Ã©Ã©", "a" * 2000,
     "hello", "refund please", "my fan", "install", "warranty", "filter", "how do I use it",
-    "motor of air fryer brnt smel",
+    "brnt smel from the air fryer cable",
 ]
 
 
@@ -35,22 +35,22 @@ def out(spark, evidence):
 def test_seen_wording_uses_history(out):
     r = out[TEXTS[0]]
     assert (r.team, r.route_type, r.confidence_level, r.needs_clarification) == ("Repairs", "seen", "high", False)
-    assert any("past requests with this wording" in x for x in r.reasons)
-    assert r.reasons[0] == "Customer asks: “motor of mixer grinder burnt smell”."
-    assert r.reasons[-1] == "Repairs handles: what Repairs does"
+    assert any("earlier requests read the same" in x for x in r.reasons)
+    assert r.reasons[0] == "Request: “burnt smell from the mixer grinder cable”."
+    assert r.reasons[-1] == "Work of Repairs: what Repairs does"
 
 
 def test_payment_remark_is_not_billing(out):
     r = out[TEXTS[1]]
-    assert r.team == "Repairs" and any("does not make it a Billing request" in x for x in r.reasons)
+    assert r.team == "Repairs" and any("does not decide the team" in x for x in r.reasons)
     r = out[TEXTS[2]]
-    assert r.team == "Billing" and not any("does not make it a Billing request" in x for x in r.reasons)
+    assert r.team == "Billing" and not any("does not decide the team" in x for x in r.reasons)
 
 
 def test_last_request_decides(out):
     assert out[TEXTS[3]].team == "Billing"
     assert out[TEXTS[4]].team == "Product Advice"
-    assert any("The last one decides" in x for x in out[TEXTS[4]].reasons)
+    assert any("The later one counts" in x for x in out[TEXTS[4]].reasons)
 
 
 def test_vague_asks_with_all_teams(out):
@@ -64,7 +64,7 @@ def test_new_wording_rules(out):
     r = out[TEXTS[6]]
     assert (r.route_type, r.team, r.confidence_level, r.route_detail) == ("new_wording", "Installs & Demo", "medium", "rules")
     r = out[TEXTS[7]]
-    assert r.route_type == "new_wording" and r.needs_clarification and any("reads two ways" in x for x in r.reasons)
+    assert r.route_type == "new_wording" and r.needs_clarification and any("but also to" in x for x in r.reasons)
 
 
 def test_every_answer_is_valid(out):
@@ -77,16 +77,16 @@ def test_every_answer_is_valid(out):
 def test_typos_are_repaired(out):
     r = out[TEXTS[-1]]
     assert (r.team, r.route_type, r.route_detail) == ("Repairs", "seen", "repaired")
-    assert "Read as “motor of product burnt smell” after correcting spelling / Hinglish." in r.reasons
+    assert "Taken as “burnt smell from the product cable” with spelling and Hindi words put right." in r.reasons
 
 
 def test_all_switches(spark, evidence_all):
-    texts = ["please call back regarding water purifier", "motor of air fryer brnt smel", "mera water purifier kharab ho gaya",
-             "air fryer ka bill nahi mila", "my bill never arrived for the water purifier",
-             "wrong model of the air fryer was delivered to me", "issue with water purifier"]
+    texts = ["please call back regarding water purifier", "brnt smel from the air fryer cable", "water purifier kaam nahi kar raha",
+             "air fryer ke saath bill nahi mila", "no bill came along for the water purifier",
+             "got the wrong model of the air fryer again today", "need help with my water purifier"]
     out = decide(spark, evidence_all, texts, features=L.ALL_FEATURES)
     r = out[texts[0]]
-    assert r.route_type == "vague" and any("This is a guess" in x for x in r.reasons)
+    assert r.route_type == "vague" and any("Only a starting point" in x for x in r.reasons)
     assert out[texts[1]].route_detail == "repaired"
     assert out[texts[2]].team == "Repairs" and out[texts[3]].team == "Billing"
     assert (out[texts[4]].team, out[texts[4]].route_detail) == ("Billing", "paraphrase")
@@ -96,13 +96,13 @@ def test_all_switches(spark, evidence_all):
 
 
 def test_vote_switch(spark, evidence_all):
-    text = "wrong model of the air fryer was delivered to me"
+    text = "got the wrong model of the air fryer again today"
     r = decide(spark, evidence_all, [text], features={"B2"})[text]
     assert (r.route_detail, r.confidence, r.team) == ("vote", 0.75, "Returns & Replacement")
 
 
 def test_switches_off(spark, evidence_all):
-    text = "motor of air fryer brnt smel"
+    text = "brnt smel from the air fryer cable"
     r = decide(spark, evidence_all, [text], features=set())[text]
     assert (r.route_type, r.route_detail) == ("new_wording", "model")
 
@@ -126,7 +126,7 @@ def test_save_and_load(spark, evidence, out, tmp_path):
 def test_history_without_vague_requests(spark, history, teams):
     """Vague and empty messages still get a team and a question when history has no vague request."""
     from pyspark.sql import functions as F
-    clear = E.fit(history.where(~F.col("text").rlike("query|issue|call back")), teams=teams)
+    clear = E.fit(history.where(~F.col("text").rlike("problem|complaint|need help")), teams=teams)
     out = decide(spark, clear, ["please call back regarding ceiling fan", ""])
     for r in out.values():
         assert r.team in L.TEAMS and r.needs_clarification and not r.auto_route
