@@ -48,8 +48,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and the text that they decode to, with the id of the document."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.with_text(bpe.with_ids(docs.select("doc_id", "text"), path), path)
+    coded = bpe.coded(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
 
 

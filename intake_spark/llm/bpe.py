@@ -4,7 +4,7 @@ Encoding follows the file's own rules: strings of added tokens stand for themsel
 each piece is merged by a priority queue of merge ranks over a doubly linked list of symbols. Entries whose pair has changed since
 they were queued are skipped when they come up. Decoding concatenates the vocabulary's strings (as bytes) and reads the result as UTF-8.
 
-Pieces of text repeat, so a task keeps the result of short pieces in a dictionary of bounded size. A text is cut at single spaces
+Pieces of text repeat, so a task keeps the results of short pieces in dictionaries of bounded size. A text is cut at single spaces
 before it is cut by the pattern, because a space followed by a visible character always starts a new piece; texts with
 a space before other white space go through the pattern as a whole.
 
@@ -23,14 +23,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The published cut of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Results that one task remembers, and the longest piece worth remembering.
-REMEMBERED, LONGEST = 300_000, 64
+#: Results in one generation of a task's memory, and the longest piece worth remembering.
+REMEMBERED, LONGEST = 60_000, 64
+#: Bytes of text that are coded before their rows are handed on.
+SLICE = 4 << 20
 LATER = 32
 MASK = (1 << LATER) - 1
 
@@ -43,16 +46,19 @@ def byte_letters() -> list[str]:
 
 
 class _Memory(dict):
-    """Results by piece; emptied when full, so its size is bounded."""
+    """Results by piece in two generations: a full one becomes the old one, and what is asked for again moves back from there."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, piece):
-        out = self.make(piece)
+        out = self.old.get(piece)
+        if out is None:
+            out = self.make(piece)
         if len(piece) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.old = dict(self)
                 self.clear()
             self[piece] = out
         return out
@@ -123,7 +129,10 @@ class Bpe:
         return [s for s in symbol if s >= 0]
 
     def _by_pattern(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
+        words = self.pattern.findall(text)
+        if len(words) == 1:  # the caller remembers it
+            return array("I", self.merge(text.encode())).tobytes()
+        return b"".join(map(self.words.__getitem__, words))
 
     def _plain(self, text: str) -> bytes:
         if self.space_before_space.search(text):
@@ -169,6 +178,35 @@ def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
     return own.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def coded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """All columns of ``docs``, the token ids, and the text that the ids decode to; columns of those names are replaced.
+
+    Both come from one pass, so a task needs one Python worker, and rows are handed on in slices of bounded size.
+    """
+    kept = docs.drop(ids, decoded)
+    names = kept.columns
+
+    def slices(batch):
+        first, size = 0, 0
+        for k, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(batch.column(names.index(text))), 0).to_pylist()):
+            size += n
+            if size >= SLICE:
+                yield batch.slice(first, k + 1 - first)
+                first, size = k + 1, 0
+        if first < batch.num_rows:
+            yield batch.slice(first)
+
+    def run(batches):
+        bpe = load(path)
+        for batch in batches:
+            for part in slices(batch):
+                found = [bpe.encode(t.as_py() or "") for t in part.column(names.index(text))]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found).astype(np.int32), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(map(bpe.decode, found), pa.string())], names=[*names, ids, decoded])
+
+    return kept.mapInArrow(run, kept.withColumns({ids: F.array().cast("array<int>"), decoded: F.lit("")}).schema)
+
+
 def with_ids(docs: DataFrame, path: str, text: str = "text", name: str = "ids") -> DataFrame:
     """All columns of ``docs`` and the token ids; a column of that name is replaced."""
     kept = docs.drop(name)

@@ -55,6 +55,16 @@ def test_bpe_columns(some):
     coded = bpe.with_text(bpe.with_ids(some, BYTE_BPE), BYTE_BPE)
     assert coded.columns == [*some.columns, "ids", "decoded"]
     assert coded.where(F.coalesce("text", F.lit("")) != F.col("decoded")).count() == 0
+    once = bpe.coded(some, BYTE_BPE)
+    assert once.schema == coded.schema and by_id(once.collect()) == by_id(coded.collect())
+
+
+def test_bpe_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    memory = bpe._Memory(str.encode)
+    for x in ["a", "b", "a", "c", "d", "a", "e", "f", "g", "x" * 100, "a"]:
+        assert memory[x] == x.encode() and len(memory) <= 3 and len(memory.old) <= 3
+    assert "x" * 100 not in memory and "x" * 100 not in memory.old
 
 
 def test_counts_on_random_texts():
