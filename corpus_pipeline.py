@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intake_spark.llm import bpe, decontaminate, near_dup, quality_rules, secrets
-from intake_spark.llm.tables import table
+from intake_spark.llm.tables import small_batches, table
 from intake_spark.session import shared_dir
 
 
@@ -33,21 +33,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays: the one with the smallest id."""
+    small_batches(spark)
     return near_dup.keep_one(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of the benchmark are cut out of the texts."""
+    small_batches(spark)
     return _measured(decontaminate.clean(docs, table(spark, sf_dir, "benchmark")))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets, also encoded ones, give way to a mark."""
+    small_batches(spark)
     return _measured(secrets.hide(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and the text that they decode to, with the id of the document."""
+    small_batches(spark)
     coded = bpe.coded(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
 

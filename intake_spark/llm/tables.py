@@ -12,6 +12,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bound what Spark hands to a Python worker at once by bytes: ten thousand long texts, the usual batch, can be a gigabyte."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def in_arrow(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iterator[dict]]) -> DataFrame:
     """``mapInArrow`` for a function that yields dicts of columns; ``schema`` is a DDL string."""
     from pyspark.sql.types import _parse_datatype_string
