@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import publish
@@ -44,6 +44,14 @@ def lookup(left: DataFrame, table: DataFrame, keys: list[str], row_id: list[str]
     return spread_join(left, table, keys, row_id, how)
 
 
+def lookup_where(left: DataFrame, table: DataFrame, keys: list[str], row_id: list[str], needed: Column) -> DataFrame:
+    """``lookup`` for rows with ``needed`` (never NULL); beyond a broadcast, the other rows stay out of the shuffle."""
+    if is_small(table):
+        return left.join(F.broadcast(table), keys, "left")
+    none = {f.name: F.lit(None).cast(f.dataType) for f in table.schema.fields if f.name not in keys}
+    return spread_join(left.where(needed), table, keys, row_id).unionByName(left.where(~needed).withColumns(none))
+
+
 def spread_join(left: DataFrame, table: DataFrame, keys: list[str], row_id: list[str], how: str = "left",
                 share: int = HOT_SHARE, pieces: int = HOT_PIECES) -> DataFrame:
     """The shuffle side of ``lookup``; the big side is read once for its key counts and once for the join."""

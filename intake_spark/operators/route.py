@@ -19,7 +19,7 @@ from ..functions import clean as C
 from ..functions import parse as P
 from ..session import publish
 from .evidence import Evidence, ranked
-from .lookups import lookup
+from .lookups import lookup, lookup_where
 from .neighbors import nearest_phrase
 from .repair import hinglish_to_english, repair
 
@@ -190,7 +190,8 @@ def route(requests: DataFrame, evidence: Evidence, features=L.DEFAULT_FEATURES,
     key = ["split", row_id]
     rows = lookup(rows, phrases, ["split", "last"], key)
     rows = rows.withColumn("_unknown_text", F.when(stated & F.col("p_team").isNull(), F.col("text")))
-    rows = lookup(rows, readings.withColumnRenamed("text", "_unknown_text"), ["split", "_unknown_text"], key)
+    rows = lookup_where(rows, readings.withColumnRenamed("text", "_unknown_text"), ["split", "_unknown_text"], key,
+                        F.col("_unknown_text").isNotNull())
     rows = rows.join(F.broadcast(evidence.stats), "split", "left")  # one row per split
     if {"A1", "C2"} & features:
         products = evidence.products.select("split", "product_family", F.col("n").alias("product_n"),

@@ -89,19 +89,14 @@ def stratified_bucket(df: DataFrame, label: str, row_id: str, k: int = 5, seed:
     return sliced.withColumn("bucket", (turn % k).cast("int")).drop("_slice", "_h")
 
 
-def group_buckets(df: DataFrame, group: str, k: int = 5, share: int = 10_000) -> DataFrame:
+def group_buckets(df: DataFrame, group: str, k: int = 5, slices: int = 64) -> DataFrame:
     """(group, bucket): groups dealt by size, back and forth over the k folds.
 
-    Only groups with at least 1/``share`` of the rows are ranked (so at most ``share`` of them);
-    the balance does not depend on where the small ones go, and they take their fold by hash.
+    The turns are counted inside hash slices of the groups, each with its own starting fold: one rule at every size.
     """
     sizes = publish(df.groupBy(group).agg(F.count("*").alias("n")), "group_sizes")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    is_big = (F.col("n") > 1) & (F.col("n") * share >= total)
-    w = Window.orderBy(F.desc("n"), group)
-    turn = F.row_number().over(w) - 1
-    seat = turn % k
-    dealt = sizes.where(is_big).withColumn(
-        "bucket", F.when(F.floor(turn / k) % 2 == 0, seat).otherwise(k - 1 - seat).cast("int"))
-    rest = sizes.where(~is_big).withColumn("bucket", (stable_hash(F.col(group)) % k).cast("int"))
-    return publish(dealt.select(group, "bucket").unionByName(rest.select(group, "bucket")), "group_buckets")
+    w = Window.partitionBy("_slice").orderBy(F.desc("n"), group)
+    dealt = sizes.withColumn("_slice", stable_hash(F.col(group)) % slices).withColumn("_turn", F.row_number().over(w) - 1 + F.col("_slice"))
+    seat = F.col("_turn") % k
+    bucket = F.when(F.floor(F.col("_turn") / k) % 2 == 0, seat).otherwise(k - 1 - seat).cast("int")
+    return publish(dealt.select(group, bucket.alias("bucket")), "group_buckets")

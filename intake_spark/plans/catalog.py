@@ -26,6 +26,7 @@ from ..operators import splits as S
 from ..operators import stats as ST
 from ..operators import textmodel as TM
 from ..operators.route import first_rule, matching_teams
+from ..operators.lookups import lookup
 from ..session import publish, shared_dir, spread
 from ..sources import fixtures as X
 from ..sources import pack as K
@@ -177,15 +178,14 @@ def phrase_families(spark, sf):
 
 @query
 def document_families(spark, sf):
-    """First line of each document with its numbers masked: how many documents share it."""
-    docs = table(spark, sf, "documents", "doc_id", "text")
-    first = docs.withColumn("line", F.element_at(F.split(F.col("text"), "\n"), 1))
-    return E.top_phrase(first.withColumn("family", C.phrase_family(F.col("line"))), "family", "line")
+    """Lines of the documents, alike but for their numbers: how often each family occurs, and its most frequent line."""
+    lines = table(spark, sf, "documents", "text").select(F.explode(F.split(F.col("text"), "\n")).alias("line"))
+    return E.top_phrase(lines.withColumn("family", C.phrase_family(F.col("line"))), "family", "line")
 
 
 @query
 def last_user_turn(spark, sf):
-    """The last user turn of each conversation, and how many requests it makes."""
+    """The last user turn of each conversation as the parser reads it, and how many user turns there are."""
     turns = table(spark, sf, "conversations").where(F.col("role") == "user")
     last = turns.groupBy("conv_id").agg(F.count("*").alias("user_turns"), F.max(F.struct("turn", "text")).alias("s"))
     parsed = P.with_phrases(last.select("conv_id", "user_turns", F.col("s.turn").alias("turn"),
@@ -701,8 +701,10 @@ def tfidf_terms(spark, sf):
     block = (TM.Block("text", 1, 2, 2),)
     idf = TM.idf_table(docs.select("text", F.lit(1).alias("weight")), block, indexed=False)
     texts = docs.select(F.md5("text").alias("document"), "text").distinct()
-    w = TM.weights(texts, idf, block, ["document"])
-    return w.groupBy("document").agg(F.count("*").alias("terms"), F.max("w").alias("top_weight"), F.sum("w").alias("weight_sum"))
+    per = TM.weights(texts, idf, block, ["document"]).groupBy("document").agg(
+        F.count("*").alias("terms"), F.max("w").alias("top_weight"), F.sum("w").alias("weight_sum"))
+    every = lookup(docs.select("doc_id", F.md5("text").alias("document")), publish(per, "document_weights"), ["document"], ["doc_id"])
+    return every.drop("document").fillna(0, ["terms"]).fillna(0.0, ["top_weight", "weight_sum"])
 
 
 @query

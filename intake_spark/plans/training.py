@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import lexicon as L
 from ..functions import parse as P
 from ..operators import evidence as E
+from ..operators import textmodel as TM
 from ..operators.route import majority_fallback, route
 from ..session import publish
 from ..sources import pack as K
@@ -18,15 +19,31 @@ def parsed_history(train: DataFrame, log: DataFrame) -> DataFrame:
     return P.with_phrases(K.clean_history(K.join_history(train, log)), shown=True)
 
 
+def last_resort(history: DataFrame, out: str):
+    """The text model of all requests with a stated need, saved under ``out``; without any such request the majority class."""
+    clear = history.where(~F.col("vague") & F.col("final_team_cur").isNotNull())
+    if clear.isEmpty():
+        return majority_fallback
+    model = TM.fit_text_model(clear)
+    TM.save(model, out)
+    return TM.model_fallback({0: model})
+
+
 def train_and_predict(spark: SparkSession, folder: str, out: str, features=L.DEFAULT_FEATURES,
-                      fallback=majority_fallback) -> DataFrame:
+                      fallback=None, paraphrases: str | None = None) -> DataFrame:
     """The batch job: learn from all history and corrections, decide the unlabelled requests, write the deliverable.
 
-    Writes ``model`` (learned tables), ``predictions`` (CSV in sample order), ``details`` and ``checks``.
+    Writes ``model`` (learned tables), ``text_model``, ``predictions`` (CSV in sample order), ``details`` and ``checks``.
+    ``fallback`` takes the text model's place; ``paraphrases`` is the file of rewordings that feature B3 reads.
     """
+    if "B3" in features and paraphrases is None:
+        raise ValueError("feature B3 needs the file of paraphrases")
     history = K.with_corrections(K.load_history(spark, folder), K.load_corrections(spark, folder))
-    evidence = E.fit(history, features=features, teams=K.load_teams(spark, folder))
+    history = publish(P.with_phrases(history), "history")
+    evidence = E.fit(history, features=features, teams=K.load_teams(spark, folder), parsed=True,
+                     paraphrases=K.load_paraphrases(spark, paraphrases) if paraphrases else None)
     E.save(evidence, f"{out}/model")
+    fallback = fallback or last_resort(history, f"{out}/text_model")
     test = K.load_unlabelled(spark, folder)
     decided = publish(route(test, evidence, features, fallback=fallback), "decided")
     sample = K.load_sample(spark, folder)

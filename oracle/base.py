@@ -106,12 +106,9 @@ def group_folds(group: str) -> str:
     """CTE gh: history with the fold of its group, dealt by size back and forth."""
     return f"""
 gsize as (select {group} as g, count(*) as n from h group by 1),
-gtotal as (select sum(n) as t from gsize),
-gbig as (select g, row_number() over (order by n desc, g) - 1 as turn from gsize, gtotal where n > 1 and n * 10000 >= t),
-gfold as (
-  select g, cast(case when (turn // 5) % 2 = 0 then turn % 5 else 4 - turn % 5 end as int) as fold from gbig
-  union all
-  select g, cast({stable_hash('g')} % 5 as int) from gsize, gtotal where not (n > 1 and n * 10000 >= t)),
+gturn as (select g, row_number() over (partition by slice order by n desc, g) - 1 + slice as turn
+          from (select g, n, {stable_hash('g')} % 64 as slice from gsize)),
+gfold as (select g, cast(case when (turn // 5) % 2 = 0 then turn % 5 else 4 - turn % 5 end as int) as fold from gturn),
 gh as materialized (select h.*, gfold.fold from h join gfold on gfold.g = {group})"""
 
 

@@ -40,7 +40,7 @@ group by family""")
 SQL["document_families"] = """
 select family, first(line order by n desc, line) as line, cast(max(n) as bigint) as n, cast(sum(n) as bigint) as family_rows from (
   select regexp_replace(line, '\\d+', '#', 'g') as family, line, count(*) as n
-  from (select split_part(text, chr(10), 1) as line from documents) group by all) group by family"""
+  from (select unnest(string_split(text, chr(10))) as line from documents) group by all) group by family"""
 SQL["last_user_turn"] = f"""
 with u as (select conv_id, count(*) as user_turns, max(turn) as turn, arg_max(text, turn) as text
            from conversations where role = 'user' group by conv_id),
@@ -557,8 +557,10 @@ c as materialized (select doc_id, any_value(document) as document, term, count(*
 n as (select count(*) as n from documents),
 df as (select term, count(*) as df from c group by term having count(*) >= 2),
 x as (select distinct document, c.term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) as raw from c join df using (term), n),
-u as (select document, term, raw / sqrt(sum(raw * raw) over (partition by document)) as w from x)
-select document, count(*) as terms, {r('max(w)')} as top_weight, {r('sum(w)')} as weight_sum from u group by document"""
+u as (select document, term, raw / sqrt(sum(raw * raw) over (partition by document)) as w from x),
+p as (select document, count(*) as terms, {r('max(w)')} as top_weight, {r('sum(w)')} as weight_sum from u group by document)
+select doc_id, coalesce(terms, 0) as terms, coalesce(top_weight, 0) as top_weight, coalesce(weight_sum, 0) as weight_sum
+from (select doc_id, md5(text) as document from documents) left join p using (document)"""
 
 # ------------------------------------------------------------------------------------ files and streams
 SQL["corrections_union"] = query(f"""

@@ -156,6 +156,16 @@ def test_spread_join_keeps_every_row(spark):
     assert len(got) == 6000 and dict(got) == want
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_lookup_where_keeps_every_row(spark, monkeypatch, small):
+    monkeypatch.setattr(LK, "is_small", lambda *a, **k: small)
+    left = spark.range(3000).select("id", F.when(F.col("id") % 5 == 0, F.concat(F.lit("k"), (F.col("id") % 3).cast("string"))).alias("key"))
+    table = publish(spark.createDataFrame([("k0", [1]), ("k2", [2])], "key string, v array<int>"), "t")
+    got = LK.lookup_where(left, table, ["key"], ["id"], F.col("key").isNotNull()).select("id", "v").collect()
+    assert len(got) == 3000
+    assert {r.id: r.v for r in got} == {i: {0: [1], 2: [2]}.get(i % 3) if i % 5 == 0 else None for i in range(3000)}
+
+
 # ------------------------------------------------------------------------------------ statistics
 def _two_sided(b, c):
     n, m = b + c, min(b, c)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from intake_spark import lexicon as L
+from intake_spark.operators import textmodel as TM
 from intake_spark.plans import training as TR
 from intake_spark.sources import pack as K
 from intake_spark.streaming import online as O
@@ -76,6 +77,11 @@ def test_train_and_predict(spark, folder, tmp_path):
     assert all(r.team in L.TEAMS for r in pred)
     learned = spark.read.parquet(f"{out}/model/phrases")
     assert learned.where("last = 'gizmo does the hula on my P'").first().team == "Repairs"
+    model = TM.load(spark, f"{out}/text_model")
+    asked = spark.createDataFrame([("burnt cable smell", "burnt cable smell"), ("spare filters", "spare filters")], "norm string, last string")
+    assert {r["last"]: r.fb_team for r in model.predict(asked).collect()} == {"burnt cable smell": "Repairs", "spare filters": "Filters & Consumables"}
+    with pytest.raises(ValueError):
+        TR.train_and_predict(spark, str(folder), out, features={"B3"})
     (folder / "corrections.csv").write_text("logged_at,request_id,request_text,product_family,team,confirmed_at\n")
 
 
