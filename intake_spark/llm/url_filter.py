@@ -7,15 +7,17 @@ rule's; the longest fitting rule wins.
 The tree is learned from all addresses; those that a rule fits are its labelled examples. Level by level, below each node of a host:
 
 * a segment that holds less than 1/16 of the node's pages, or one page, is variable and becomes ``*``; so a node keeps 16 branches at most
-* the branches, sorted by their share of blocked examples, are merged with the next one unless a two-proportion test tells them apart
-  (|z| > 1.96); a branch without examples has the node's share and is merged. A merged branch is named ``{a,b}``
+* branches with ``ENOUGH`` examples, sorted by their share of blocked ones, are merged with the next one unless a two-proportion test tells
+  them apart (|z| > 1.96); a branch with fewer or no examples stays a template of its own. A merged branch is named ``{a,b}``
 
-Segments from ``DEPTH`` on are one ``**``. A template is rejected when its smoothed purity, (blocked + 2) / (labelled + 4), reaches 0.8.
+Segments from ``DEPTH`` on are one ``**``. A template is judged by its own examples alone: it is rejected when it has any and its smoothed purity,
+(blocked + 4 * prior) / (labelled + 4), reaches 0.8; the prior is the share of blocked ones among all examples (0.5 if there are none).
+Variable segments are judged together, so examples under a ``*`` speak for all pages under it.
 
 Addresses are counted once per host and path; only these narrow rows move, and a host with a third of all pages is split in the joins.
 
 Defined cases: empty host or path form templates as others do; a null page id stays; repeated rows give repeated rows; a template without labelled
-examples has purity 0.5 and is not rejected; an empty table gives an empty result; other columns are ignored.
+examples has the prior as purity and is not rejected; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from intake_spark.session import publish
 
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
-DEPTH, KEPT_SHARE, SMOOTHING, REJECT, DIFFERENT = 6, 16, 4.0, 0.8, 1.96
+DEPTH, KEPT_SHARE, SMOOTHING, REJECT, DIFFERENT, ENOUGH = 6, 16, 4.0, 0.8, 1.96, 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,17 +61,17 @@ def _branches(rows: DataFrame, level: int) -> DataFrame:
     node = ["host", "prefix"]
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
     child = publish(rows.withColumn("segment", F.get("segments", F.lit(level))).groupBy(*node, "segment").agg(*sums), "url-children")
-    total = publish(child.groupBy(*node).agg(F.sum("n").alias("all"), F.sum("labelled").alias("seen"), F.sum("blocked").alias("bad")), "url-nodes")
+    total = publish(child.groupBy(*node).agg(F.sum("n").alias("all")), "url-nodes")
     kept = (F.col("n") * KEPT_SHARE >= F.col("all")) & (F.col("n") > 1)
     named = child.join(total, node).withColumn("segment", F.when(kept, F.col("segment")).otherwise("*"))
-    branch = named.groupBy(*node, "segment").agg(*sums, F.max("seen").alias("seen"), F.max("bad").alias("bad"))
-    share = F.when(F.col("labelled") > 0, F.col("blocked") / F.col("labelled")).when(F.col("seen") > 0, F.col("bad") / F.col("seen")).otherwise(0.0)
-    row = Window.partitionBy(*node).orderBy("share", "segment")  # 17 branches at most
+    branch = named.groupBy(*node, "segment").agg(*sums)
+    branch = branch.withColumn("enough", F.col("labelled") >= ENOUGH).withColumn("share", F.when(F.col("enough"), F.col("blocked") / F.col("labelled")))
+    row = Window.partitionBy(*node).orderBy("enough", "share", "segment")  # 17 branches at most
     before = lambda c: F.lag(c).over(row)
     pooled = (F.col("blocked") + before("blocked")) / (F.col("labelled") + before("labelled"))
     spread = pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / before("labelled"))
-    apart = F.when((F.col("labelled") > 0) & (before("labelled") > 0) & (spread > 0), F.pow(F.col("share") - before("share"), F.lit(2.0)) > DIFFERENT**2 * spread).otherwise(False)
-    grouped = branch.withColumn("share", share).withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int"))
+    apart = F.when(F.col("enough") & before("enough"), F.pow(F.col("share") - before("share"), F.lit(2.0)) > DIFFERENT**2 * spread).otherwise(True)
+    grouped = branch.withColumn("apart", apart.cast("int"))
     grouped = grouped.withColumn("group", F.sum("apart").over(row))
     merged = grouped.groupBy(*node, "group").agg(F.sort_array(F.collect_list("segment")).alias("names"))
     token = F.when(F.size("names") == 1, F.col("names")[0]).otherwise(F.concat(F.lit("{"), F.array_join("names", ","), F.lit("}")))
@@ -105,11 +107,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, page_id: str =
     bad = F.coalesce(verdict_of(F.col("rule"), rules) == "block", F.lit(False))
     addresses = own.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count("rule").alias("labelled"), F.count_if(bad).alias("blocked"))
     placed = publish(templates(addresses), "url-templates")
-    purity = placed.groupBy("host", "template").agg(((F.sum("blocked") + F.lit(SMOOTHING / 2)) / (F.sum("labelled") + F.lit(SMOOTHING))).alias("purity"))
-    purity = publish(purity, "url-purity")
+    every = own.agg(F.count("rule").alias("labelled"), F.count_if(bad).alias("blocked")).first()
+    prior = every.blocked / every.labelled if every.labelled else 0.5
+    smoothed = (F.sum("blocked") + F.lit(SMOOTHING * prior)) / (F.sum("labelled") + F.lit(SMOOTHING))
+    purity = publish(placed.groupBy("host", "template").agg(smoothed.alias("purity"), (F.sum("labelled") > 0).alias("known")), "url-purity")
     free = placed.where("labelled = 0").select("host", "path", "template").join(purity, ["host", "template"])
     free = publish(free, "url-free")
     found = verdict_of(F.col("rule"), rules)
     ruled = own.where("rule is not null").select("page_id", "host", "path", "rule", found.alias("verdict"), F.lit(None).cast("string").alias("template"), F.lit(None).cast("double").alias("purity"))
     rest = own.where("rule is null").join(free, ["host", "path"])
-    return ruled.unionByName(rest.select("page_id", "host", "path", "rule", F.when(F.col("purity") >= REJECT, "block").otherwise("allow").alias("verdict"), "template", "purity"))
+    return ruled.unionByName(rest.select("page_id", "host", "path", "rule", F.when(F.col("known") & (F.col("purity") >= REJECT), "block").otherwise("allow").alias("verdict"), "template", "purity"))
