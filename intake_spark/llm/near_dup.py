@@ -1,15 +1,16 @@
 """MinHash near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 * A shingle is five consecutive words (runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``, A-Z lower-cased); a text of one to four words is one
-  shingle. Its weight is the count in the text times ``min(1, ln(N / df) / ln(3))``: shingles in over a third of all texts count less. The
-  bound is a third because a group of copies may be that large and must keep its weight.
-* ``df`` comes from a count-min sketch over all texts (2 x 65,536 counters, summed by Spark, of fixed size). It is too high by about the
-  mean text length / 65,536 of N, at any N, which moves no weight but those next to the bound.
+  shingle. Its weight is the count in the text times ``min(1, ln(N / df) / ln(3))``: shingles in over a third of all distinct texts count less. N is
+  ``LEAST_TEXTS`` at least, as shares say nothing in a small table.
+* ``df`` comes from a count-min sketch over the distinct texts (2 x 65,536 counters, summed by Spark, of fixed size), less what other shingles are
+  expected to add to a counter.
 * ``SAMPLES`` consistent samples per text form ``BANDS`` bands of ``ROWS``; texts that agree in a band meet in its bucket. Two texts
-  of similarity 0.8 meet with probability 1 - (1 - 0.8 ** 3) ** 12 = 0.9998.
+  of similarity 0.8 meet with probability 1 - (1 - 0.8 ** 3) ** 12 = 0.9998. A text with shingles of less weight also gets the bands of its plain
+  counts (which a text of full weights has anyway), so the same holds for plain similarity, however large a group of copies is.
 * Texts with equal shingles and counts are one node. Buckets that hold the same nodes are one bucket. A bucket is cut into blocks of about
   ``BLOCK_NODES`` nodes, and every pair of blocks (also a block with itself) is one unit of work: all pairs of its nodes are compared exactly, by
-  weighted Jaccard similarity over all shingles, as a matrix product inside the task. Pairs never become rows; a unit returns
+  weighted and by plain Jaccard similarity over all shingles (either links), as matrix products inside the task. Pairs never become rows; a unit returns
   each node's class within the unit, one row per node. So a bucket of thousands takes many small tasks, none grows with it, and no link is lost.
 * Classes are the connected components of the links.
 
@@ -39,6 +40,7 @@ SAMPLES = BANDS * ROWS
 SKETCH_ROWS, SKETCH_WIDTH, SKETCH_BLOCK = 2, 1 << 16, 1 << 11
 BLOCK_NODES, SLAB = 400, 4096
 COMMON = 3.0  # a shingle in more than 1 / COMMON of all texts loses weight
+LEAST_TEXTS = 1000
 U64 = np.uint64
 
 
@@ -95,7 +97,7 @@ def _cells(hashes: np.ndarray) -> list[np.ndarray]:
 
 
 def sketch(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """(texts with shingles, counters): every task sums its own texts, Spark sums the tasks' blocks of counters."""
+    """(texts with shingles, counters) of distinct texts: every task sums its own, Spark sums the tasks' blocks of counters."""
 
     def count(batches):
         total = np.zeros((SKETCH_ROWS, SKETCH_WIDTH), np.int64)
@@ -131,7 +133,8 @@ def sketch(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 def cell_weights(n: int, counters: np.ndarray) -> np.ndarray:
     """Saturated inverse document frequency by counter."""
-    share = np.maximum(counters, 1) / max(1, n)
+    others = (counters.sum(axis=1, keepdims=True) - counters) / (SKETCH_WIDTH - 1)  # expected from other shingles
+    share = np.maximum(counters - others, 1) / max(n, LEAST_TEXTS)
     return np.clip(-np.log(np.minimum(share, 1)) / math.log(COMMON), 0.01, 1).astype(np.float32)
 
 
@@ -173,49 +176,61 @@ def bands(values: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signatures(docs: DataFrame, shared) -> DataFrame:
-    """doc_id, node (0 for a text without words) and band buckets."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, node: a key of the text's shingles and counts, 0 for a text without words."""
+
+    def work(batch):
+        for block in W.blocks(batch.column(1), W.ALNUM, lower=True):
+            yield {"doc_id": batch.column(0).slice(block.first_row, block.rows), "text": batch.column(1).slice(block.first_row, block.rows),
+                   "node": Shingles(block).keys()}
+
+    return in_arrow(docs.select("doc_id", "text"), "doc_id long, text string, node long", work)
+
+
+def signatures(texts: DataFrame, shared) -> DataFrame:
+    """node and its band buckets, by weights and, where these are not full, by plain counts."""
 
     def work(batch):
         for block in W.blocks(batch.column(1), W.ALNUM, lower=True):
             s = Shingles(block)
-            found = bands(samples(s, weights(s, shared.value)))
-            many = (s.first[1:] > s.first[:-1]).astype(np.int64) * BANDS
-            yield {"doc_id": batch.column(0).slice(block.first_row, block.rows), "node": s.keys(),
-                   "buckets": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(found.ravel(), pa.int64()))}
+            weight = weights(s, shared.value)
+            found = bands(samples(s, weight))
+            less = np.add.reduceat(np.append(weight < s.count, False), s.first[:-1]) > 0  # every text here has shingles
+            buckets = list(found)
+            if less.any():
+                plain = bands(samples(s, s.count.astype(np.float32)))
+                for i in np.flatnonzero(less):
+                    buckets[i] = np.unique(np.concatenate([found[i], plain[i]]))
+            ends = np.concatenate([[0], np.cumsum([len(b) for b in buckets])])
+            yield {"node": batch.column(0).slice(block.first_row, block.rows),
+                   "buckets": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *buckets]), pa.int64()))}
 
-    return in_arrow(docs.select("doc_id", "text"), "doc_id long, node long, buckets array<long>", work)
+    return in_arrow(texts.select("node", "text"), "node long, buckets array<long>", work)
 
 
 def vectors(joined: DataFrame, shared) -> DataFrame:
-    """node, its elements as sorted 32-bit hashes, and their weights unless all are 1; one row per node and task.
+    """node, its elements as sorted 32-bit hashes, and their weights unless all are 1.
 
     The k-th occurrence of a shingle is an element of its own with the shingle's rarity as weight, so the smaller of two
     weights of a shingle is the sum over common elements.
     """
 
     def run(batches):
-        done: set[int] = set()  # repeated rows meet in one task, as they share a doc_id
         for batch in batches:
             for block in W.blocks(batch.column(1), W.ALNUM, lower=True):
                 s = Shingles(block)
-                rare, own = weights(s, shared.value) / s.count, s.keys()
-                want = np.array(batch.column(0).slice(block.first_row, block.rows))
-                node, element, heavy = [], [], []
-                for i in np.flatnonzero((own == want) & (own != 0)):
-                    if int(own[i]) in done:
-                        continue
-                    done.add(int(own[i]))
+                rare = weights(s, shared.value) / s.count
+                node, element, heavy = batch.column(0).slice(block.first_row, block.rows), [], []
+                for i in range(block.rows):
                     part = slice(s.first[i], s.first[i + 1])
                     many = s.count[part]
                     nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
                     small = (W.mix(np.repeat(s.hash[part], many) + nth.astype(U64)) >> U64(32)).astype(np.uint32)
                     order = np.argsort(small, kind="stable")
-                    node.append(int(own[i]))
                     element.append(small[order].tobytes())
                     w = np.repeat(rare[part], many).astype(np.float32)[order]
                     heavy.append(None if (w == 1).all() else w.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(element, pa.binary()), pa.array(heavy, pa.binary())], names=["node", "elements", "weights"])
+                yield pa.RecordBatch.from_arrays([node, pa.array(element, pa.binary()), pa.array(heavy, pa.binary())], names=["node", "elements", "weights"])
 
     return joined.select("node", "text").mapInArrow(run, "node long, elements binary, weights binary")
 
@@ -240,15 +255,22 @@ def common_weight(elements: list[np.ndarray], heavy: list[np.ndarray]) -> np.nda
     return out
 
 
-def forest(elements: list[np.ndarray], heavy: list[np.ndarray], side: np.ndarray, cross: bool, threshold: float, nodes: list[int]) -> list[tuple[int, int]]:
-    """Classes over the pairs that reach the threshold, as (row, smallest node of its class); ``cross``: only pairs of different sides."""
+def similar(elements: list[np.ndarray], heavy: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Whether the Jaccard similarity of two rows reaches the threshold, for every pair."""
     total = np.array([w.sum() for w in heavy], np.float32)
     common = common_weight(elements, heavy)
-    near = common >= (threshold - 1e-6) * (total[:, None] + total[None, :] - common)
+    return common >= (threshold - 1e-6) * (total[:, None] + total[None, :] - common)
+
+
+def forest(elements: list[np.ndarray], heavy: list[np.ndarray], side: np.ndarray, cross: bool, threshold: float, nodes: list[int]) -> list[tuple[int, int]]:
+    """Classes over the pairs that reach the threshold, as (row, smallest node of its class); ``cross``: only pairs of different sides."""
+    near = similar(elements, heavy, threshold)
+    if any((w != 1).any() for w in heavy):
+        near |= similar(elements, [np.ones(len(e), np.float32) for e in elements], threshold)
     if cross:
         near &= side[:, None] != side[None, :]
-    root = np.arange(len(total))
-    for i in range(len(total)):
+    root = np.arange(len(nodes))
+    for i in range(len(nodes)):
         others = np.flatnonzero(near[i, i + 1:]) + i + 1
         for r in np.unique(root[others]):
             if r != root[i]:
@@ -317,33 +339,43 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: ``class_id``, the smallest id of its class, and how many rows the class has."""
+def _named(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, digest of the text, node and root (both 0 for a text without words) for every row of (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    shared = spark.sparkContext.broadcast(cell_weights(*sketch(docs)))  # 0.5 MB, always
-    rows = publish(signatures(docs, shared), "dup-rows")
-    nodes = rows.where("node != 0").groupBy("node").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.first("buckets").alias("buckets"))
-    members = nodes.select("node", "doc_id", F.explode("buckets").alias("bucket"))
+    own = keyed(docs)
+    rows = publish(own.select("doc_id", F.xxhash64("text").alias("digest"), "node"), "dup-rows")
+    # one text per node; equal texts meet before they move
+    texts = publish(own.where("node != 0").groupBy("node").agg(F.first("text").alias("text")), "dup-texts")
+    shared = spark.sparkContext.broadcast(cell_weights(*sketch(texts)))  # 0.5 MB, always
+    members = publish(signatures(texts, shared).select("node", F.explode("buckets").alias("bucket")), "dup-buckets")
     # buckets of the same nodes: equal sizes and equal sums of two hashes
     sums = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in (1, 2)]
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *sums).where("size > 1")
     sizes = publish(sizes.groupBy("size", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "dup-sizes")
     members = publish(members.join(sizes, "bucket"), "dup-members")
-    lender = publish(members.groupBy("node").agg(F.first("doc_id", ignorenulls=True).alias("lender")), "dup-nodes")
-    vector = publish(vectors(docs.join(lender.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("lender"))), shared), "dup-vectors")
+    wanted = publish(members.select("node").distinct(), "dup-nodes")
+    vector = publish(vectors(texts.join(wanted.hint("shuffle_hash"), "node"), shared), "dup-vectors")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK_NODES)).cast("int")
     units = members.select("bucket", "node", blocks.alias("blocks")).withColumn("side", F.pmod(F.xxhash64("bucket", "node"), F.col("blocks")).cast("int"))
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node").join(vector, "node")
     links = publish(unit_links(units.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), threshold), "dup-links")
-    label = lender.select("node", F.col("node").alias("root"))
+    label = wanted.select("node", F.col("node").alias("root"))
     if not links.isEmpty():
         root = components(thinned(links))
-        label = publish(lender.select("node").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "dup-roots")
+        label = publish(wanted.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "dup-roots")
     # a text without words is alone; nodes outside any bucket as well
-    named = rows.join(label, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
-    named = publish(named, "dup-named")
+    named = rows.join(label, "node", "left").select("doc_id", "digest", "node", F.coalesce("root", "node").alias("root"))
+    return publish(named, "dup-named")
+
+
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Per document: ``class_id``, the smallest id of its class, and how many rows the class has."""
+    named = _named(_texts(docs, doc_id, text), threshold)
     group = publish(named.where("node != 0").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows")), "dup-classes")
     out = named.join(group, "root", "left")
     alone = F.col("node") == 0
