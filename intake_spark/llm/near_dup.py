@@ -384,10 +384,17 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their class, with all columns; of rows that share such an id one stays. A class without any id keeps all rows."""
-    named = classes(docs, doc_id, text).select(F.col("doc_id").alias("__id"), "class_id").distinct()
-    later = named.where(F.col("__id").isNotNull() & F.col("class_id").isNotNull() & (F.col("__id") != F.col("class_id"))).select("__id")
-    later = later.union(named.where(F.col("__id").isNull() & F.col("class_id").isNotNull()).select("__id")).distinct()
-    left = docs.join(later.hint("shuffle_hash"), docs[doc_id].cast("long").eqNullSafe(F.col("__id")), "left_anti")
-    with_id, without = left.where(F.col(doc_id).isNotNull()), left.where(F.col(doc_id).isNull())
-    return with_id.dropDuplicates([doc_id]).unionByName(without)
+    """The rows of ``docs``, with all columns, whose text is the first of its class: the smallest id, rows without id last, then the smallest digest.
+
+    Of rows with equal id and text one stays; texts without words and without id all stay.
+    """
+    named = _named(_texts(docs, doc_id, text), THRESHOLD).where("node != 0").select("root", "doc_id", "digest").distinct()
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    named = publish(named.withColumn("place", place), "dup-places")
+    first = publish(named.groupBy("root").agg(F.min("place").alias("first")), "dup-firsts")
+    later = named.join(first, "root").where(~F.col("place").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    own = docs.withColumn("__own", F.xxhash64(text))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))
+    left = own.join(later.hint("shuffle_hash"), same, "left_anti")
+    told = F.col(doc_id).isNotNull() | F.coalesce(F.col(text).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
+    return left.where(told).dropDuplicates([doc_id, "__own"]).unionByName(left.where(~told)).drop("__own")

@@ -31,3 +31,17 @@ def test_two_rows(spark):
     rows = [(1, " ".join(base)), (2, " ".join(base[:-3] + ["x", "y", "z"]))]
     assert {r.class_id for r in near_dup.classes(spark.createDataFrame(rows, SCHEMA)).collect()} == {1}
 
+
+def words(name, n=40):
+    return " ".join(f"{name}{k}" for k in range(n))
+
+
+def test_one_row_of_each_class(spark):
+    near = words("a")[:-3] + "zz"
+    rows = [(None, words(f"n{k}")) for k in range(20)] + [(None, words("n3"))] + [(7, words("a")), (None, near), (None, words("b")), (None, words("b").upper())]
+    rows += [(8, words("c")), (8, words("d")), (8, words("d")), (9, words("e")), (10, words("e")), (10, words("f")), (None, None), (None, "..."), (None, "...")]
+    kept = [(r.doc_id, r.text) for r in near_dup.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()]
+    want = [(None, words(f"n{k}")) for k in range(20)] + [(7, words("a")), (8, words("c")), (8, words("d")), (9, words("e")), (10, words("f")), (None, None), (None, "..."), (None, "...")]
+    left = [x for x in kept if x[1] not in (words("b"), words("b").upper())]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    assert sorted(left, key=key) == sorted(want, key=key) and len(kept) == len(left) + 1
