@@ -4,19 +4,19 @@ Level-wise doubling. The first level looks at windows of ``LENGTH / 2`` words. N
 windows inside a full window, the one with the smallest hash (leftmost on ties) stands for it, which leaves about one in six and is the
 same wherever the full window occurs. A half-length window that occurs once decides that no full window around it repeats. The
 windows around the others are extended to twice the length and judged there; longer repeats are covered by their full windows,
-so the doubling ends at ``LENGTH``.
+so the doubling ends at ``LENGTH``: one step, and no further level can remove another word.
 
 * Exact copies are told by the digest of their words. Only the earliest copy takes part; a later copy of ``LENGTH`` words
   or more loses every word, since all of its windows start earlier.
 * Both levels are one hash aggregation with partial sums, so a passage that a third of all texts hold is one row per task. The
   aggregate of a half-length window says whether it stands in one place alone; that of a full window gives its first place. Nothing is joined on
   a window's hash, and no group is collected.
-* Texts are joined with what is known about them by ``doc_id``, once; after that only texts with candidate windows are kept.
+* Texts are joined with what is known about them by ``doc_id`` and digest, once; after that only texts with candidate windows are kept.
 
 Half-length windows are compared by a 64-bit hash (a clash only adds a candidate), full ones by two 64-bit hashes.
 
 Defined cases: a null or empty text has no words; a text of under ``LENGTH`` words loses none; rows that share a ``doc_id``
-are not earlier than one another at the same start, so repeated rows get equal results; rows without ``doc_id`` come last
+and hold a window at the same start are ordered by digest, so repeated rows get equal results; rows without ``doc_id`` come last
 and count as one such id; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -43,8 +43,12 @@ def _key(sha: bytes) -> int:
     return int.from_bytes(sha[:8], "little", signed=True)
 
 
+def _digest(text: bytes) -> bytes:
+    return hashlib.sha256(b" ".join(text.split())).digest()
+
+
 def _digests(block: W.Block) -> list[bytes]:
-    return [hashlib.sha256(b" ".join(block.text(i).split())).digest() for i in range(block.rows)]
+    return [_digest(block.text(i)) for i in range(block.rows)]
 
 
 def anchors(block: W.Block, h: np.ndarray, length: int) -> np.ndarray:
@@ -111,15 +115,16 @@ def _parts(batch: pa.RecordBatch):
 
 
 def packed(docs: DataFrame, length: int) -> DataFrame:
-    """doc and compressed text, of texts that hold a full window; they move twice."""
+    """doc, key and compressed text, of texts that hold a full window; they move twice."""
 
     def work(batch):
         closer = zstandard.ZstdCompressor(level=6)
         for block, part in _parts(batch):
             rows = np.flatnonzero(block.last - block.first >= length)
-            yield {"doc": part.column("doc").take(pa.array(rows)), "packed": [closer.compress(block.text(i)) for i in rows]}
+            texts = [block.text(i) for i in rows]
+            yield {"doc": part.column("doc").take(pa.array(rows)), "key": [_key(_digest(t)) for t in texts], "packed": [closer.compress(t) for t in texts]}
 
-    return in_arrow(docs.select("doc", "text"), "doc long, packed binary", work)
+    return in_arrow(docs.select("doc", "text"), "doc long, key long, packed binary", work)
 
 
 def summaries(docs: DataFrame) -> DataFrame:
@@ -152,11 +157,8 @@ def with_candidates(joined: DataFrame, length: int) -> DataFrame:
 
     def work(batch):
         for block, part in _parts(batch):
-            key = np.array([_key(s) for s in _digests(block)], np.int64)
-            own = np.array(part.column("key")) == key  # rows that share a doc_id and differ in text
             starts = candidates(block, block.hashes(), length, _flags(block, part.column("alone")))
             doc = block.doc_of_word()[starts] if len(starts) else np.empty(0, np.int64)
-            starts, doc = starts[own[doc]], doc[own[doc]]
             rows = np.unique(doc)
             if len(rows):
                 lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(doc, rows), len(doc)), pa.int32()),
@@ -174,9 +176,9 @@ def window_rows(kept: DataFrame, length: int) -> DataFrame:
             at = np.flatnonzero(_flags(block, part.column("starts")))
             doc = block.doc_of_word()[at]
             yield {"a": W.run_hash(block.hashes(1), length)[at].view(np.int64), "b": W.run_hash(block.hashes(2), length)[at].view(np.int64),
-                   "doc": np.array(part.column("doc"))[doc], "start": (at - block.first[doc]).astype(np.int32)}
+                   "doc": np.array(part.column("doc"))[doc], "key": np.array(part.column("key"))[doc], "start": (at - block.first[doc]).astype(np.int32)}
 
-    return in_arrow(kept.select("doc", "packed", "starts"), "a long, b long, doc long, start int", work)
+    return in_arrow(kept.select("doc", "key", "packed", "starts"), "a long, b long, doc long, key long, start int", work)
 
 
 def removals(kept: DataFrame, length: int) -> DataFrame:
@@ -210,14 +212,14 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
              .agg(F.min("key").alias("key"), F.max("key").alias("k2"), F.min("place").alias("place"), F.max("place").alias("p2"))
              .where("key = k2 and place = p2").groupBy("key").agg(F.collect_list("place").alias("alone")))
     known = leaders.where(F.col("n") >= length).join(alone, "key", "left").select("doc", "key", "alone")
-    kept = publish(with_candidates(packed(docs, length).join(known.hint("shuffle_hash"), "doc"), length), "repeat-candidates")
-    # level 2: the first place of each full window, as one number that sorts by document and start
-    at = F.col("doc").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("start").cast("decimal(10,0)")
-    first = window_rows(kept, length).select("a", "b", at.alias("at")).groupBy("a", "b").agg(F.min("at").alias("at"))
-    step = F.lit(1 << 32).cast("decimal(10,0)")
-    start = F.pmod(F.col("at"), step)
-    firsts = first.select(((F.col("at") - start) / step).cast("long").alias("doc"), start.cast("int").alias("start")).groupBy("doc").agg(F.collect_list("start").alias("firsts"))
-    cut = publish(removals(kept.join(firsts.hint("shuffle_hash"), "doc", "left"), length), "repeat-removed").dropDuplicates(["doc", "key"])
+    kept = publish(with_candidates(packed(docs, length).join(known.hint("shuffle_hash"), ["doc", "key"]), length), "repeat-candidates")
+    # level 2: the first place of each full window, as one number that sorts by document, start and text
+    whole = lambda c: F.col(c).cast("decimal(20,0)")
+    low = F.shiftrightunsigned("key", 33).cast("decimal(20,0)")
+    at = (whole("doc") * F.lit(1 << 32).cast("decimal(10,0)") + whole("start")) * F.lit(1 << 31).cast("decimal(10,0)") + low
+    first = window_rows(kept, length).withColumn("at", at).groupBy("a", "b").agg(*(F.min_by(c, "at").alias(c) for c in ("doc", "key", "start")))
+    firsts = first.groupBy("doc", "key").agg(F.collect_list("start").alias("firsts"))
+    cut = publish(removals(kept.join(firsts.hint("shuffle_hash"), ["doc", "key"], "left"), length), "repeat-removed").dropDuplicates(["doc", "key"])
     first_copy = leaders.select(F.col("sha").alias("sha1"), F.col("doc").alias("doc1"))
     own = every.join(first_copy, (F.col("sha") == F.col("sha1"))).withColumn("later", F.col("doc") > F.col("doc1"))
     digests = cut.select("doc", "key", F.col("n_removed").alias("cut"), F.sha2("kept_text", 256).alias("cut_sha"))
