@@ -24,3 +24,10 @@ def test_equal_starts_have_one_first_text(spark):
     rows = [(None, passage("same", 30) + f" end{k}") for k in range(4)]
     got = substring_dedup.report(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(r.n_removed for r in got) == [0, 30, 30, 30]
+
+
+def test_rows_without_id_do_not_multiply(spark, monkeypatch):
+    df = spark.createDataFrame([(None, passage(f"t{k}z", 30)) for k in range(40)], SCHEMA)
+    seen, real = [], substring_dedup.with_candidates
+    monkeypatch.setattr(substring_dedup, "with_candidates", lambda joined, n: (seen.append(joined.count()), real(joined, n))[1])
+    assert len(substring_dedup.report(df).collect()) == 40 and seen == [40]
