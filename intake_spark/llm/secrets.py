@@ -8,7 +8,9 @@ Base kinds, each leftmost and non-overlapping on its own, in code points with ex
 * ``hex``: ``[0-9a-f]+`` of 32 characters or more
 
 Matches that fail the length are dropped after matching. A worklist then unwraps layers until none is left: percent escapes, ``\\u``, ``\\x`` and
-numeric character references, base64 in both alphabets, and gzip, zlib or bzip2 data inside base64. Each uncovered layer is scanned and searched
+numeric character references, base64 in both alphabets, also wrapped over lines of 18 characters or more, and gzip, zlib or bzip2 data of any
+number of members inside base64. Bytes that are not clean UTF-8 text (control characters, other encodings, binary) are not dropped: their printable ASCII
+stretches are scanned, without ANSI codes, also as UTF-16 if there is a NUL; all patterns are ASCII, so that covers Latin-1 and the like. Each uncovered layer is scanned and searched
 for further layers. Escapes keep a place for every character, so a find maps back to its own stretch of the text; a find inside base64 maps to
 the whole encoded stretch. A layer that has been seen for the same stretch is not opened again, which ends cycles. A compressed
 layer of more than ``LARGEST`` characters is not opened for reasons of memory; its stretch is reported as ``packed``, so that it does not pass unseen.
@@ -47,6 +49,13 @@ ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST)
 BASE64_PART = re.compile(r"[A-Za-z0-9]{%d,}={0,2}" % SHORTEST)
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f�]")
+#: Base64 that goes on behind a line break.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{%d,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}" % SHORTEST)
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+ANSI = re.compile(r"\x1b\[[0-?]*[ -/]*[@-~]")
+#: The shortest find is a name of 5, a sign and a value of 8 characters.
+PRINTABLE = re.compile(r"[\t\n\r\x20-\x7e]{14,}")
+PIECE = 4096
 
 Span = tuple[int, int, int]  # start, kind, end
 Place = Callable[[int, int], tuple[int, int]]
@@ -119,50 +128,99 @@ class _TooLarge(Exception):
     pass
 
 
+def _member(raw: bytes, make: Callable, room: int) -> tuple[bytes, bytes]:
+    """What the first member holds, as far as it can be read, and the bytes behind it."""
+    work, out, size = make(), [], 0
+    for at in range(0, len(raw), PIECE):
+        try:
+            new = work.decompress(raw[at:at + PIECE], room + 1 - size)
+        except (zlib.error, OSError, EOFError, ValueError):
+            break
+        out.append(new)
+        size += len(new)
+        if size > room:
+            raise _TooLarge
+        if work.eof:
+            return b"".join(out), work.unused_data + raw[at + PIECE:]
+    return b"".join(out), b""
+
+
 def _inflated(raw: bytes) -> bytes | None:
     for magic, make in ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"x", lambda: zlib.decompressobj()), (b"BZh", bz2.BZ2Decompressor)):
         if raw.startswith(magic):
-            try:
-                work = make()
-                out = work.decompress(raw, LARGEST)
-                if not work.eof:
-                    if len(out) >= LARGEST:
-                        raise _TooLarge
-                    return None
-                return out
-            except (zlib.error, OSError, EOFError, ValueError):
-                return None
+            out, size = [], 0
+            while raw.startswith(magic):
+                new, rest = _member(raw, make, LARGEST - size)
+                if not new and not rest:
+                    break
+                raw = rest
+                out.append(new)
+                size += len(new)
+            return b"".join([*out, raw]) if size else None
     return None
 
 
-def _readable(raw: bytes) -> str | None:
+def _stretches(text: str) -> str:
+    """The printable stretches that can hold a find, apart from each other by a sign that no pattern has."""
+    return "\x0c".join(PRINTABLE.findall(ANSI.sub("", text)))
+
+
+def _readable(raw: bytes) -> tuple[list[str], bool]:
+    """Texts that the bytes can be read as, and whether they are clean."""
     packed = _inflated(raw)
+    data = raw if packed is None else packed
     try:
-        text = (raw if packed is None else packed).decode()
+        text = data.decode()
+        if not CONTROL.search(text):
+            return [text] * bool(text), True
     except UnicodeDecodeError:
-        return None
-    return None if CONTROL.search(text) else text
+        pass
+    found = [_stretches(data.decode("latin-1"))]
+    if b"\0" in data:
+        found += [_stretches(data.decode(c, "replace")) for c in ("utf-16-le", "utf-16-be")]
+    return [f for f in found if f], False
+
+
+def _opened(body: str) -> tuple[list[str] | None, bool]:
+    """Texts inside a base64 stretch, None if it is too large to open; and whether they are clean."""
+    body = body.rstrip("=").translate({45: "+", 95: "/"})
+    if len(body) % 4 == 1:
+        return [], False
+    try:
+        return _readable(base64.b64decode(body + "=" * (-len(body) % 4), validate=True))
+    except binascii.Error:
+        return [], False
+    except _TooLarge:
+        return None, False
+
+
+def _wrapped(text: str) -> Iterator[tuple[str, int, int]]:
+    """Base64 over several lines, joined: lines of one width (the first may be shorter) up to a shorter one, with and without that one."""
+    for m in WRAPPED.finditer(text):
+        lines = list(LINE.finditer(text, m.start(), m.end()))
+        first = 0
+        while first < len(lines) - 1:
+            width, last = len(lines[first + 1][0]), first + 1
+            while last + 1 < len(lines) and len(lines[last][0]) == width and len(lines[last + 1][0]) <= width:
+                last += 1
+            for end in {last, last - 1} - {first}:
+                yield "".join(x[0] for x in lines[first:end + 1]), lines[first].start(), lines[end].end()
+            first = last
 
 
 def _base64(text: str) -> Iterator[tuple[str | None, int, int]]:
     """(decoded text, start, end); None for a stretch that is too large to open."""
+    for body, start, end in _wrapped(text):
+        for found in (None,) if (opened := _opened(body)[0]) is None else opened:
+            yield found, start, end
     for m in BASE64.finditer(text):
         tries = [m] if BASE64_PART.fullmatch(m[0]) else [m, *BASE64_PART.finditer(text, m.start(), m.end())]
         for t in tries:
-            body = t[0].rstrip("=").translate({45: "+", 95: "/"})
-            if len(body) % 4 == 1:
-                continue
-            try:
-                found = _readable(base64.b64decode(body + "=" * (-len(body) % 4), validate=True))
-            except binascii.Error:
-                continue
-            except _TooLarge:
-                yield None, t.start(), t.end()
-                break
-            if found:
+            opened, clean = _opened(t[0])
+            for found in (None,) if opened is None else opened:
                 yield found, t.start(), t.end()
-                if t is m:
-                    break
+            if opened is None or (clean and opened and t is m):
+                break
 
 
 def layers(text: str) -> Iterator[tuple[str, Place, int, int]]:
