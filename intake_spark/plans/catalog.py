@@ -765,7 +765,7 @@ def noise_cleaned(spark, sf):
 @query
 def boosted_trees(spark, sf):
     train, rows, _ = _learned(spark, sf)
-    return M.accuracy(TM.boosted(train, rows, components=24, rounds=5), vague=F.col("vague"))
+    return M.accuracy(TM.boosted(train, rows), vague=F.col("vague"))
 
 
 @query
