@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intake_spark.llm import (bpe, decontaminate, near_dup, quality_classifier, quality_rules, secrets, substring_dedup, surrogates,
-                              token_counts, url_filter)
+from intake_spark.llm import (bpe, decontaminate, fingerprints, lexical_search, near_dup, prefix_trie, quality_classifier, quality_rules, secrets,
+                              substring_dedup, surrogates, token_counts, url_filter)
+from intake_spark.llm.oracles import SQL
 from intake_spark.llm.tables import table
 from intake_spark.session import shared_dir
 
@@ -58,7 +59,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *(q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(table(spark, sf_dir, "conversations"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(table(spark, sf_dir, "documents")).drop("held")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_bpe, op2_quality_classifier, op3_substring_dedup, op4_token_counts, op5_near_dup, op6_url_filter, op7_decontaminate, op8_surrogates,
-    op9_secrets, op10_quality_rules)}
-SQL: dict[str, str] = {}
+    op9_secrets, op10_quality_rules, op11_prefix_trie, op12_fingerprints, op13_lexical_search)}
