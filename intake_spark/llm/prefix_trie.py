@@ -34,7 +34,7 @@ from ..session import publish
 #: Conversations share the first turns of the first conversation of their hundred.
 FAMILY, SHARED = 100, 6
 #: Messages that a queue holds in memory before a sorted run goes to disk, and the least bound of a heavy chain.
-HELD, LEAST = 1 << 17, 1_000
+HELD, LEAST = 1 << 17, 100
 #: Conversation ids in one text of a listing.
 LISTED = 4_096
 KEY = ["a", "b", "depth"]
