@@ -39,8 +39,9 @@ QUERIES: dict[str, Query] = {}
 
 # wording of the paraphrase dimension: (known wording, paraphrase)
 PARAPHRASES = [
-    ("invoice not received with the P", "no bill came along for the water purifier"),
-    ("installer did not turn up with the P", "the setup man stayed away with the water purifier"),
+    ("refund of the P advance still pending", "money for the room heater has not come back"),
+    ("cartridge for the P is over", "the ceiling fan ran out of its insert"),
+    ("can i run the P overnight", "is it fine to leave the air fryer on till morning"),
 ]
 
 
@@ -312,7 +313,7 @@ def rewritten_stress(spark, sf):
     late = history(spark, sf).where((S.out_of_time_bucket(F.col("created_at")) == 1) & ~F.col("vague"))
     hindi = F.col("text")
     for english, other in (("not turning on", "chalu nahi ho raha"), ("leaking water", "paani tapak raha hai"),
-                           ("invoice not received", "bill nahi mila"), ("how to clean", "kaise saaf kare")):
+                           ("invoice not received", "bill nahi mila"), ("want exchange", "badalna")):
         hindi = F.replace(hindi, F.lit(english), F.lit(other))
     return BT.rewritten_test(history(spark, sf), late.select("request_id", "text", hindi.alias("hinglish"), "product_family", "final_team_cur"),
                              evidence=oot_evidence(spark, sf))

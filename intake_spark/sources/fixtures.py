@@ -9,55 +9,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import lexicon as L
 from ..session import spread
 
-FAMILIES = [
-    "Water Purifier", "Air Fryer", "Mixer Grinder", "Robot Vacuum", "Induction Cooktop", "Room Heater",
-    "Ceiling Fan",
+FAMILIES = ["Room Heater", "Ceiling Fan", "Water Purifier", "Induction Cooktop", "Robot Vacuum", "Mixer Grinder", "Air Fryer"]
+
+# for each team a sentence about the product <p> and what may stand in its gap
+TOPICS = [
+    ("Repairs", "<p> {} is overheating after ten minutes", ["handle", "base", "plug", "back panel", "knob"]),
+    ("Repairs", "<p> {} since the power cut", ["not turning on", "leaking water"]),
+    ("Billing", "refund of the <p> {} still pending", ["deposit", "advance", "difference"]),
+    ("Billing", "invoice not received {} buying the <p>", ["after", "when"]),
+    ("Returns & Replacement", "box was open, <p> {}", ["scratched"]),
+    ("Returns & Replacement", "received used <p>, want {}", ["exchange"]),
+    ("Installs & Demo", "demo of the <p> wanted for {}", ["tuesday", "the new kitchen", "my parents"]),
+    ("Warranty Claims", "guarantee papers of the <p> lost {}", ["while shifting", "in the rain"]),
+    ("Warranty Claims", "coverage of the <p> ended {}, why", ["early"]),
+    ("Filters & Consumables", "cartridge for the <p> {}", ["is over", "in size two", "by courier"]),
+    ("Product Advice", "can i run the <p> {}", ["on inverter", "overnight", "in a cupboard"]),
 ]
-# wording with the product as <p>, and the team that closes it
-CLEAR = [
-    ("leaking water under the <p> all night", "Repairs"),
-    ("burnt smell from the <p> cable", "Repairs"),
-    ("<p> not turning on since monday", "Repairs"),
-    ("invoice not received with the <p>", "Billing"),
-    ("<p> charged twice last month", "Billing"),
-    ("lid of <p> arrived damaged, need replacement", "Returns & Replacement"),
-    ("got the wrong model of <p> today", "Returns & Replacement"),
-    ("installer did not turn up with the <p>", "Installs & Demo"),
-    ("move the installation of <p> to sunday", "Installs & Demo"),
-    ("send the warranty card of <p>", "Warranty Claims"),
-    ("does shield pay for a <p>", "Warranty Claims"),
-    ("two spare filters for <p>", "Filters & Consumables"),
-    ("price of a membrane for <p>", "Filters & Consumables"),
-    ("how to clean the <p> tray", "Product Advice"),
-    ("<p> safe for kids or not", "Product Advice"),
-    ("seal cut, <p> scratched", "Returns & Replacement"),
-    ("shield refused for <p>, why", "Warranty Claims"),
-]
-VAGUE = ["complaint about <p>", "need help with my <p>", "<p> problem"]
-# wording that first appears in April 2026: (order key divisor, remainder, wording, closing team)
+CLEAR = [(sentence.format(gap), team) for team, sentence, gaps in TOPICS for gap in gaps]
+VAGUE = [v.replace(" P", " <p>").replace("P ", "<p> ") for v in L.VAGUE_PHRASES]
+# sentences that first appear in April 2026: (order key divisor, remainder, sentence, closing team)
 LATE = [
-    (61, 0, "brush holder on the <p> shows a crack", "Repairs"),
-    (67, 0, "nobody came for the installation at my flat of the <p>", "Installs & Demo"),
-    (71, 0, "<p> kaam nahi kar raha", "Repairs"),
-    (71, 1, "<p> ke saath bill nahi mila", "Billing"),
-    (73, 0, "brnt smel from the <p> cable", "Repairs"),
-    (79, 0, "hello again regarding this <p>", "Product Advice"),
-    (101, 0, "no bill came along for the <p>", "Billing"),
-    (103, 0, "got the wrong model of the <p> again today", "Returns & Replacement"),
-    (107, 0, "phone kijiye <p>", "Repairs"),
-]
-EMPTY_DIVISOR = 97
-GREETINGS = ["", "hi, ", "namaste, ", "urgent: ", "sir "]
-VAGUE_OUTCOMES = [
-    "Billing", "Filters & Consumables", "Installs & Demo", "Product Advice", "Repairs", "Repairs",
-    "Returns & Replacement", "Warranty Claims",
-]
-TEAM_CYCLE = [
-    "Billing", "Filters & Consumables", "Installs & Demo", "Product Advice", "Repairs", "Returns & Replacement",
-    "Warranty Claims",
+    (59, 0, "black smoke out of the <p>, blade shows rust", "Repairs"),
+    (61, 3, "visit for fitting of the <p> was missed", "Installs & Demo"),
+    (67, 1, "<p> chal nahi raha", "Repairs"),
+    (67, 2, "<p> kharidi par invoice nahi mila", "Billing"),
+    (71, 4, "<p> handel is overheting after ten minutes", "Repairs"),
+    (79, 5, "as told yesterday about the <p>", "Product Advice"),
+    (83, 6, "money for the <p> has not come back", "Billing"),
+    (89, 7, "demo of the new <p> wanted for my parents", "Installs & Demo"),
+    (101, 8, "baat karni hai <p>", "Repairs"),
 ]
+EMPTY_DIVISOR = 103
+GREETINGS = ["urgent: ", "", "hello team ", "sir, "]
 
 
 class _Dialect:
@@ -127,9 +113,9 @@ def requests_sql(spark: bool, orders: str = "orders") -> str:
                   when k % 9 = 2 then 'Filters & Consumables' else final end as bot
       from (
         select *,
-               {d.pick(GREETINGS, 'k % 5')}
+               {d.pick(GREETINGS, d.div('k', 3) + ' % 4')}
                || case when k % 19 = 0
-                       then replace({d.pick([p for p, _ in CLEAR], '(5 * k + c + 4) % 17')}, '<p>', product) || ', '
+                       then replace({d.pick([p for p, _ in CLEAR], f'(5 * k + c + 4) % {len(CLEAR)}')}, '<p>', product) || ', '
                        else '' end
                || replace(phrase, '<p>', product) || payment
                || {d.pick(['', ' thanks', ' pls call back', ' order KO', ' reg no SR'], d.div('k', 5) + ' % 5')}
@@ -139,12 +125,12 @@ def requests_sql(spark: bool, orders: str = "orders") -> str:
           select *,
                  lower(product_family) as product,
                  case {late_case}
-                      when is_vague then {d.pick(VAGUE, d.div('k', 6) + ' % 3')}
-                      else {d.pick([p for p, _ in CLEAR], '(7 * k + 3 * c) % 17')} end as phrase,
+                      when is_vague then {d.pick(VAGUE, d.div('k', 6) + f' % {len(VAGUE)}')}
+                      else {d.pick([p for p, _ in CLEAR], f'(7 * k + 3 * c) % {len(CLEAR)}')} end as phrase,
                  case when {empty} then 'Repairs' {late_team}
-                      when is_vague then {d.pick(VAGUE_OUTCOMES, '(3 * k + (11 * k + c) % 7) % 8')}
-                      when k % 53 = 0 then {d.pick(TEAM_CYCLE, d.div('k', 53) + ' % 7')}
-                      else {d.pick([t for _, t in CLEAR], '(7 * k + 3 * c) % 17')} end as final,
+                      when is_vague then {d.pick(L.TEAMS, '(k * k + (11 * k + c) % 7) % 7')}
+                      when k % 53 = 0 then {d.pick(L.TEAMS, d.div('k', 53) + ' % 7')}
+                      else {d.pick([t for _, t in CLEAR], f'(7 * k + 3 * c) % {len(CLEAR)}')} end as final,
                  case when k % 13 = 0 then ' paid on upi' when k % 13 = 5 then ' already paid in full'
                       else '' end as payment
           from (

@@ -463,7 +463,7 @@ select {q(m)} as model, {r('avg(a)')} as acc, {r('stddev_samp(a)')} as sd, {q(sc
     FOLDED, group_folds("last"), robust("rbb", CV, L.KEYWORD_RULES), robust("rbc", GROUPED, L.TEAM_WORD_RULES))
 
 REWRITES = (("not turning on", "chalu nahi ho raha"), ("leaking water", "paani tapak raha hai"),
-            ("invoice not received", "bill nahi mila"), ("how to clean", "kaise saaf kare"))
+            ("invoice not received", "bill nahi mila"), ("want exchange", "badalna"))
 HINDI = "text"
 for a_, b_ in REWRITES:
     HINDI = f"replace({HINDI}, {q(a_)}, {q(b_)})"

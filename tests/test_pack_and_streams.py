@@ -10,7 +10,7 @@ from intake_spark.operators import textmodel as TM
 from intake_spark.plans import training as TR
 from intake_spark.sources import pack as K
 from intake_spark.streaming import online as O
-from conftest import history_rows
+from histories import history_rows
 
 
 @pytest.fixture(scope="module")
@@ -78,8 +78,8 @@ def test_train_and_predict(spark, folder, tmp_path):
     learned = spark.read.parquet(f"{out}/model/phrases")
     assert learned.where("last = 'gizmo does the hula on my P'").first().team == "Repairs"
     model = TM.load(spark, f"{out}/text_model")
-    asked = spark.createDataFrame([("burnt cable smell", "burnt cable smell"), ("spare filters", "spare filters")], "norm string, last string")
-    assert {r["last"]: r.fb_team for r in model.predict(asked).collect()} == {"burnt cable smell": "Repairs", "spare filters": "Filters & Consumables"}
+    asked = spark.createDataFrame([("sparks at the socket", "sparks at the socket"), ("amc renewal", "amc renewal")], "norm string, last string")
+    assert {r["last"]: r.fb_team for r in model.predict(asked).collect()} == {"sparks at the socket": "Repairs", "amc renewal": "Filters & Consumables"}
     with pytest.raises(ValueError):
         TR.train_and_predict(spark, str(folder), out, features={"B3"})
     (folder / "corrections.csv").write_text("logged_at,request_id,request_text,product_family,team,confirmed_at\n")
@@ -96,7 +96,7 @@ def test_contract(spark):
 def test_request_stream(spark, evidence, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
-    texts = ["burnt smell from the air fryer cable", "please call back regarding air fryer", ""]
+    texts = ["sparks from the air fryer socket", "please call back regarding air fryer", ""]
     (source / "1.json").write_text("\n".join(json.dumps({"request_id": f"R{i}", "request_text": t}) for i, t in enumerate(texts)))
     stream = spark.readStream.schema("request_id string, request_text string, product_family string").json(str(source))
     out = str(tmp_path / "out")

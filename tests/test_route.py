@@ -13,17 +13,17 @@ def decide(spark, evidence, texts, product="Water Purifier", **kw):
 
 
 TEXTS = [
-    "good morning, burnt smell from the mixer grinder cable",
-    "water purifier not turning on since monday already paid in full",
-    "air fryer charged twice last month, paid via card",
-    "how to clean the air fryer tray, invoice not received with the air fryer",
-    "invoice not received with the air fryer, how to clean the air fryer tray",
+    "good morning, sparks from the mixer grinder socket",
+    "water purifier display gone blank at night already paid in full",
+    "double charge on the air fryer order, paid via card",
+    "recipe book for the air fryer, coupon did not work for the air fryer",
+    "coupon did not work for the air fryer, recipe book for the air fryer",
     "urgent: please call back regarding ceiling fan",
-    "nobody came for the installation at my flat of the heater",
-    "brush holder on the mixer shows a crack",
+    "the installation of the heater was put off again",
+    "blade of the mixer shows a crack",
     "", "   ", "???", "Ã©Ã©Ã©", "a" * 2000,
     "hello", "refund please", "my fan", "install", "warranty", "filter", "how do I use it",
-    "brnt smel from the air fryer cable",
+    "sprks from the air fryer sockt",
 ]
 
 
@@ -36,7 +36,7 @@ def test_seen_wording_uses_history(out):
     r = out[TEXTS[0]]
     assert (r.team, r.route_type, r.confidence_level, r.needs_clarification) == ("Repairs", "seen", "high", False)
     assert any("earlier requests read the same" in x for x in r.reasons)
-    assert r.reasons[0] == "Request: “burnt smell from the mixer grinder cable”."
+    assert r.reasons[0] == "Request: “sparks from the mixer grinder socket”."
     assert r.reasons[-1] == "Work of Repairs: what Repairs does"
 
 
@@ -77,13 +77,13 @@ def test_every_answer_is_valid(out):
 def test_typos_are_repaired(out):
     r = out[TEXTS[-1]]
     assert (r.team, r.route_type, r.route_detail) == ("Repairs", "seen", "repaired")
-    assert "Taken as “burnt smell from the product cable” with spelling and Hindi words put right." in r.reasons
+    assert "Taken as “sparks from the product socket” with spelling and Hindi words put right." in r.reasons
 
 
 def test_all_switches(spark, evidence_all):
-    texts = ["please call back regarding water purifier", "brnt smel from the air fryer cable", "water purifier kaam nahi kar raha",
-             "air fryer ke saath bill nahi mila", "no bill came along for the water purifier",
-             "got the wrong model of the air fryer again today", "need help with my water purifier"]
+    texts = ["please call back regarding water purifier", "sprks from the air fryer sockt", "water purifier kaam nahi kar raha",
+             "air fryer ka bill nahi mila", "statement lists two debits for the water purifier",
+             "missing parts in the air fryer box again", "need help with my water purifier"]
     out = decide(spark, evidence_all, texts, features=L.ALL_FEATURES)
     r = out[texts[0]]
     assert r.route_type == "vague" and any("Only a starting point" in x for x in r.reasons)
@@ -96,13 +96,13 @@ def test_all_switches(spark, evidence_all):
 
 
 def test_vote_switch(spark, evidence_all):
-    text = "got the wrong model of the air fryer again today"
+    text = "missing parts in the air fryer box again"
     r = decide(spark, evidence_all, [text], features={"B2"})[text]
     assert (r.route_detail, r.confidence, r.team) == ("vote", 0.75, "Returns & Replacement")
 
 
 def test_switches_off(spark, evidence_all):
-    text = "brnt smel from the air fryer cable"
+    text = "sprks from the air fryer sockt"
     r = decide(spark, evidence_all, [text], features=set())[text]
     assert (r.route_type, r.route_detail) == ("new_wording", "model")
 
