@@ -31,11 +31,10 @@ from pyspark.sql import functions as F
 # The published cut of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Results in one generation of a task's memory, and the longest piece worth remembering.
-REMEMBERED, LONGEST = 60_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 #: Bytes of text that are coded before their rows are handed on.
 SLICE = 4 << 20
-LATER = 32
-MASK = (1 << LATER) - 1
+LATER, SHORT = 32, 13
 
 
 def byte_letters() -> list[str]:
@@ -82,6 +81,7 @@ class Bpe:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[vocabulary[a] << LATER | vocabulary[b]] = k
             self.made.append(vocabulary[a + b])
+        self.first = [self.rank.get(self.symbol[a] << LATER | self.symbol[b], -1) for a in range(256) for b in range(256)]
         self.strings = {i: bytes(byte_of[c] for c in s) for s, i in vocabulary.items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings.update({i: s.encode() for s, i in self.added.items()})
@@ -93,39 +93,42 @@ class Bpe:
         self.words = _Memory(lambda w: array("I", self.merge(w.encode())).tobytes())
 
     def merge(self, data: bytes) -> list[int]:
-        """Merge pairs by rank, leftmost first, over a doubly linked list."""
-        rank, made, symbol = self.rank, self.made, [self.symbol[b] for b in data]
-        n = len(symbol)
-        queue = []
-        for i in range(n - 1):
-            r = rank.get(symbol[i] << LATER | symbol[i + 1])
-            if r is not None:
-                queue.append(r << LATER | i)
+        """Merge pairs by rank, leftmost first, over a doubly linked list.
+
+        ``now`` holds the rank of the pair that begins at a place; an entry of the queue with another rank is stale.
+        """
+        symbol = [self.symbol[b] for b in data]
+        first, n = self.first, len(symbol)
+        now = [first[a << 8 | b] for a, b in zip(data, data[1:])]
+        low = SHORT if n < 1 << SHORT else LATER  # small numbers are quicker
+        mask = (1 << low) - 1
+        queue = [r << low | i for i, r in enumerate(now) if r >= 0]
         if not queue:
             return symbol
         heapq.heapify(queue)
-        pop, push = heapq.heappop, heapq.heappush
+        pop, push, rank, made = heapq.heappop, heapq.heappush, self.rank.get, self.made
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        now.append(-1)
         while queue:
             entry = pop(queue)
-            i, r = entry & MASK, entry >> LATER
-            j = right[i]
-            a = symbol[i]
-            if a < 0 or j >= n or rank.get(a << LATER | symbol[j]) != r:
+            i, r = entry & mask, entry >> low
+            if now[i] != r:
                 continue  # stale: one of the two has been merged since
+            j = right[i]
             a = symbol[i] = made[r]
-            symbol[j] = -1
+            symbol[j] = now[j] = now[i] = -1
             k = right[i] = right[j]
             if k < n:
                 left[k] = i
-                r = rank.get(a << LATER | symbol[k])
-                if r is not None:
-                    push(queue, r << LATER | i)
+                r = rank(a << LATER | symbol[k], -1)
+                if r >= 0:
+                    now[i] = r
+                    push(queue, r << low | i)
             h = left[i]
             if h >= 0:
-                r = rank.get(symbol[h] << LATER | a)
-                if r is not None:
-                    push(queue, r << LATER | h)
+                r = now[h] = rank(symbol[h] << LATER | a, -1)
+                if r >= 0:
+                    push(queue, r << low | h)
         return [s for s in symbol if s >= 0]
 
     def _by_pattern(self, text: str) -> bytes:
