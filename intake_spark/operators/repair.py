@@ -7,13 +7,10 @@ misses no pair, and only those are scored.
 
 from __future__ import annotations
 
-import difflib
 import functools
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import lexicon as L
 from ..functions import parse as P
@@ -29,10 +26,40 @@ def hinglish_to_english(text: Column) -> Column:
     return P.squeeze(s)
 
 
-@F.pandas_udf(T.DoubleType())
-def match_ratio(known: pd.Series, word: pd.Series) -> pd.Series:
-    """Matching-block similarity (Ratcliff-Obershelp) of a known word and a typed one."""
-    return pd.Series([difflib.SequenceMatcher(None, k, w).ratio() for k, w in zip(known, word)], dtype="float64")
+def match_ratio(known: Column, word: Column) -> Column:
+    """Matching-block similarity (Ratcliff-Obershelp) of a known word and a typed one: twice the matched letters by all letters.
+
+    The longest common block is taken (of equal ones the first in the known word, then in the typed one), then the same on both
+    sides of it, over a list of open ranges. A range is (start, end) in both words, from 0.
+    """
+    def ranges(*bounds) -> Column:
+        return F.struct(*(b.cast("int").alias(n) for b, n in zip(bounds, ("alo", "ahi", "blo", "bhi"))))
+
+    def block(r: Column) -> Column:
+        """The best (size, -start, -start) of a range, or NULL."""
+        inside = F.substring(word, r["blo"] + 1, r["bhi"] - r["blo"])
+
+        def from_start(i):
+            def of_size(k):
+                at = F.position(F.substring(known, i + 1, k), inside)
+                return F.when(at > 0, F.struct(k.alias("k"), (-i).alias("i"), (-(r["blo"] + at - 1)).alias("j")))
+            return F.transform(F.sequence(F.lit(1), r["ahi"] - i), of_size)
+
+        return F.array_max(F.flatten(F.transform(F.sequence(r["alo"], r["ahi"] - 1), from_start)))
+
+    def step(state: Column, _: Column) -> Column:
+        r = F.element_at(state["open"], -1)
+        best = F.when((r["ahi"] > r["alo"]) & (r["bhi"] > r["blo"]), block(r))
+        rest = F.slice(state["open"], F.lit(1), F.size(state["open"]) - 1)
+        both = F.transform(F.array(best), lambda m: F.when(m.isNotNull(), F.concat(rest, F.array(
+            ranges(r["alo"], -m["i"], r["blo"], -m["j"]), ranges(-m["i"] + m["k"], r["ahi"], -m["j"] + m["k"], r["bhi"])))).otherwise(rest))
+        done = F.struct(F.element_at(both, 1).alias("open"), (state["matched"] + F.coalesce(best["k"], F.lit(0))).alias("matched"))
+        return F.when(F.size(state["open"]) == 0, state).otherwise(done)
+
+    letters = F.length(known) + F.length(word)
+    start = F.struct(F.array(ranges(F.lit(0), F.length(known), F.lit(0), F.length(word))).alias("open"), F.lit(0).alias("matched"))
+    matched = F.aggregate(F.sequence(F.lit(1), letters + 1), start, step, lambda s: s["matched"])
+    return F.when(letters == 0, F.lit(1.0)).otherwise(2.0 * matched / letters)
 
 
 # ------------------------------------------------------------------------------------ candidates
@@ -98,7 +125,7 @@ def best_known_word(words: DataFrame, vocab: DataFrame, cutoff: float = L.SPELL_
     pairs = lookup(_word_pieces(words, known, cutoff), pieces, keys, ["split", "word"], "inner")
     near = F.levenshtein(F.col("word"), F.col("known"))
     pairs = pairs.where(near <= F.col("budget")).select("split", "word", "known").distinct()
-    scored = pairs.withColumn("ratio", match_ratio("known", "word")).where(F.col("ratio") >= cutoff)
+    scored = pairs.withColumn("ratio", match_ratio(F.col("known"), F.col("word"))).where(F.col("ratio") >= cutoff)
     return scored.groupBy("split", "word").agg(F.max(F.struct("ratio", "known")).alias("s")).select(
         "split", "word", F.col("s.known").alias("known"), F.col("s.ratio").alias("ratio"))
 

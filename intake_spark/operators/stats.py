@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def log_gamma(x: Column) -> Column:
@@ -54,33 +51,68 @@ def holm(df: DataFrame, p: str = "p", by: list[str] = (), out: str = "p_holm") -
     return ranked.withColumn(out, F.max(stepped).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_i", "_m")
 
 
-def bootstrap_interval(decided: DataFrame, ok: Column, by: list[str] = (), resamples: int = 2000, seed: int = 0) -> DataFrame:
-    """95% percentile interval of an accuracy.
+def upper_gamma(a: Column, x: Column, terms: int = 400) -> Column:
+    """Regularised upper incomplete gamma function Q(a, x) for a >= 1/2: the tail of a chi-square with 2a degrees at 2x.
 
-    A resample of n yes/no rows is fully described by how many of them are yes, and that number is
-    binomial(n, share of yes). So the rows are reduced to two counts, and each resample is one draw:
-    the same distribution as drawing rows, without copying them.
+    Below a + 1 one less a power series, from there on a continued fraction, taken from its far end; both have converged to
+    double precision long before ``terms`` steps for a up to some thousands.
     """
-    counts = decided.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(ok).alias("k"))
+    a, x = a.cast("double"), x.cast("double")
+    lead = F.exp(a * F.log(x) - x - log_gamma(a + 1))  # x^a e^-x / Gamma(a + 1)
+    steps = F.sequence(F.lit(1), F.lit(terms))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def add(acc, n):
+        term = acc["term"] * x / (a + n)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    series = 1 - lead * F.aggregate(steps, start, add, lambda acc: acc["total"])
+    tail = F.aggregate(F.sequence(F.lit(terms), F.lit(1), F.lit(-1)), x + 2 * terms + 1 - a, lambda acc, n: x + 2 * n - 1 - a - n * (n - a) / acc)
+    fraction = lead * a / tail
+    return F.when(x <= 0, F.lit(1.0)).when(x < a + 1, series).otherwise(fraction)
 
-    def draw(n: pd.Series, k: pd.Series) -> pd.Series:
-        out = []
-        for rows, hits in zip(n, k):
-            if not rows:
-                out.append([None, None])
-                continue
-            rng = np.random.default_rng([seed, int(rows), int(hits)])
-            means = rng.binomial(int(rows), hits / rows, size=resamples) / rows
-            out.append([float(np.quantile(means, 0.025)), float(np.quantile(means, 0.975))])
-        return pd.Series(out)
 
-    interval = F.pandas_udf(draw, T.ArrayType(T.DoubleType()))
-    return counts.withColumn("_ci", interval("n", "k")).select(
-        *by, "n", F.try_divide("k", "n").alias("accuracy"), F.col("_ci")[0].alias("low"), F.col("_ci")[1].alias("high"))
+def chi_square_p(statistic: Column, dof: Column) -> Column:
+    """Probability of a statistic at least this large without association; NULL without degrees of freedom."""
+    return F.when(dof > 0, upper_gamma(F.greatest(dof, F.lit(1)) / 2, F.greatest(statistic, F.lit(0.0)) / 2))
+
+
+def bootstrap_interval(decided: DataFrame, ok: Column, by: list[str] = (), resamples: int = 2000, seed: int = 0) -> DataFrame:
+    """95% percentile interval of an accuracy, from replicates that any engine can recompute.
+
+    A resample of n yes/no rows is fully described by how many of them are yes, and that number is binomial. Replicate b of a group
+    draws the inverse of that distribution at a number made by hash from (group, b). The inverse is monotone, so
+    the percentiles over replicates are those of the hashed numbers, looked up in a table of the distribution around its mean.
+    """
+    from .splits import stable_hash
+    counts = decided.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(ok).alias("k")).where("n > 0")
+    replicate = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))
+    group = F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in by)) if by else F.lit("all")
+    drawn = counts.select(*by, "n", "k", replicate.alias("b")).withColumn("u", stable_hash(group, F.col("b").cast("string"), F.lit(str(seed))) / F.lit(float(1 << 60)))
+    spots = {}
+    for name, share in (("low", 0.025), ("high", 0.975)):
+        at = share * (resamples - 1)
+        spots |= {f"{name}0": int(at) + 1, f"{name}1": min(int(at) + 2, resamples)}
+    sorted_u = drawn.groupBy(*by, "n", "k").agg(F.array_sort(F.collect_list("u")).alias("us"))  # as many as there are replicates
+    p = F.col("k") / F.col("n")
+    spread = F.ceil(10 + 9 * F.sqrt(F.col("n") * p * (1 - p))).cast("long")
+    mean = F.floor(F.col("n") * p).cast("long")
+    table = sorted_u.withColumn("j", F.explode(F.sequence(F.greatest(F.lit(0), mean - spread), F.least(F.col("n"), mean + spread))))
+    n, j = F.col("n").cast("double"), F.col("j").cast("double")
+    mass = F.when((p == 0) | (p == 1), (F.col("j") == F.col("k")).cast("double")).otherwise(
+        F.exp(log_gamma(n + 1) - log_gamma(j + 1) - log_gamma(n - j + 1) + j * F.log(p) + (n - j) * F.log(1 - p)))
+    table = table.withColumn("reached", F.sum(mass).over(Window.partitionBy(*by, "n", "k").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)))
+    picks = [F.coalesce(F.min(F.when(F.col("reached") >= F.col("us")[i - 1], F.col("j"))), F.max("j")).alias(name) for name, i in spots.items()]
+    part = {name: share * (resamples - 1) - int(share * (resamples - 1)) for name, share in (("low", 0.025), ("high", 0.975))}
+
+    def between(name: str) -> Column:
+        return ((1 - part[name]) * F.col(f"{name}0") + part[name] * F.col(f"{name}1")) / F.col("n")
+
+    return table.groupBy(*by, "n", "k").agg(*picks).select(*by, "n", (F.col("k") / F.col("n")).alias("accuracy"), between("low").alias("low"), between("high").alias("high"))
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson's statistic, degrees of freedom and Cramer's V of two categorical columns, from their counts."""
+    """Pearson's statistic, degrees of freedom, p-value and Cramer's V of two categorical columns, from their counts."""
     cells = df.groupBy(a, b).agg(F.count("*").alias("o"))
     rows = cells.groupBy(a).agg(F.sum("o").alias("r"))
     cols = cells.groupBy(b).agg(F.sum("o").alias("c"))
@@ -90,7 +122,7 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
         F.count_distinct(a).alias("ra"), F.count_distinct(b).alias("cb"))
     stat = F.col("n") * (F.col("s") - 1)
     dof = (F.col("ra") - 1) * (F.col("cb") - 1)
-    return one.select("n", stat.alias("statistic"), dof.alias("dof"), F.when(
+    return one.select("n", stat.alias("statistic"), dof.alias("dof"), chi_square_p(stat, dof).alias("p"), F.when(
         F.least("ra", "cb") > 1, F.sqrt(F.greatest(stat, F.lit(0.0)) / (F.col("n") * (F.least("ra", "cb") - 1)))).alias("cramers_v"))
 
 

@@ -849,6 +849,25 @@ def stream_event_windows(spark, sf):
     return spark.read.parquet(f"{out}/counts")
 
 
+@query
+def live_event_windows(spark, sf):
+    """Daily counts of a live stream in update mode: events arrive in ten batches in the order of time, and an eleventh one brings copies
+    of a fifth of the first day's events again, far too late. The watermark drops them."""
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts", "event_type")
+    ends = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    folder, out = _run_folder(spark, "arrivals"), _run_folder(spark, "live")
+    share = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(ends.lo).cast("timestamp"))) / F.greatest(
+        F.unix_micros(F.lit(ends.hi).cast("timestamp")) - F.unix_micros(F.lit(ends.lo).cast("timestamp")), F.lit(1))
+    part = F.least(F.lit(9), F.floor(share * 10)).cast("int")
+    late = events.where((F.to_date("ts") == F.lit(ends.lo).cast("date")) & (F.col("event_id") % 5 == 0))
+    schema = "event_id bigint, ts timestamp_ntz, event_type string"
+    for k in range(11):
+        (events.where(part == k) if k < 10 else late).write.parquet(f"{folder}/in={k}")
+        stream = spark.readStream.schema(schema).option("basePath", folder).parquet(f"{folder}/in=*")
+        O.live_windows(O.counts_by_window(stream, "ts", "event_type"), out, f"{out}/offsets").awaitTermination()
+    return O.read_windows(spark, out, ["window_start", "event_type"])
+
+
 @query
 def daily_shares(spark, sf):
     """Vague and new-wording shares per day of the scored later requests."""

@@ -131,6 +131,24 @@ def counts_by_window(events: DataFrame, event_time: str, by: str, size: str = "1
         F.col("w.start").cast("timestamp_ntz").alias("window_start"), by, "n")
 
 
+def live_windows(counts: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Keep a table of open and closed windows: update mode, so a batch writes only the windows it changed.
+
+    ``counts`` is a windowed aggregation behind a watermark: state of windows that it has passed is dropped, and so are rows for
+    them. Each batch overwrites files of its own number, so a replayed batch changes nothing; ``read_windows`` takes the last value.
+    """
+    writer = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(
+        lambda batch, number: _put(batch, f"{out}/windows", number))
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def read_windows(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The last written row of each window."""
+    rows = spark.read.option("basePath", f"{out}/windows").parquet(f"{out}/windows")
+    values = [c for c in rows.columns if c not in keys and c != "batch"]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
+
+
 def first_team_weekly(history: DataFrame) -> DataFrame:
     """Weekly share of requests closed by the team that got them first."""
     return history.groupBy(F.date_trunc("week", "created_at").cast("timestamp_ntz").alias("week")).agg(

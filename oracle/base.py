@@ -154,7 +154,28 @@ py as (select l.split, count(*) filter (l.bot_team = 'Billing') as pay_bot,
 """
 
 
-# spelling of the words that are new in April 2026; difflib's answer on the earlier vocabulary
+def similar(words: str, vocab: str) -> str:
+    """CTE similar_words(word, known, ratio): pairs of ratio 0.8 or more, by recursion on the longest matching block."""
+    inside = "substr(word, blo + 1, bhi - blo)"
+    best = (f"list_max(flatten(list_transform(range(alo, ahi), lambda i: list_filter(list_transform(range(1, ahi - i + 1), lambda k: "
+            f"case when position(substr(known, i + 1, k) in {inside}) > 0 then {{'k': k, 'i': -i, 'j': -(blo + position(substr(known, i + 1, k) in {inside}) - 1)}} end), "
+            f"lambda x: x is not null))))")
+    return f"""
+blocks(word, known, alo, ahi, blo, bhi, m) as (
+  select word, known, alo, ahi, blo, bhi, {best} as m from (
+    select w.word, v.word as known, 0::bigint as alo, length(v.word) as ahi, 0::bigint as blo, length(w.word) as bhi from {words} w join {vocab} v
+    on 2 * least(length(w.word), length(v.word)) >= {L.SPELL_CUTOFF} * (length(w.word) + length(v.word))
+    and levenshtein(w.word, v.word) <= (1 - {L.SPELL_CUTOFF}) * (length(w.word) + length(v.word)) + 1e-9)
+  union all
+  select word, known, alo, ahi, blo, bhi, {best} from (
+    select word, known, r.alo as alo, r.ahi as ahi, r.blo as blo, r.bhi as bhi from (
+      select word, known, unnest([{{'alo': alo, 'ahi': -m.i, 'blo': blo, 'bhi': -m.j}}, {{'alo': -m.i + m.k, 'ahi': ahi, 'blo': -m.j + m.k, 'bhi': bhi}}]) as r
+      from blocks where m is not null)) x where ahi > alo and bhi > blo),
+similar_words as materialized (select word, known, ratio from (
+  select word, known, 2.0::double * coalesce(sum(m.k), 0) / (length(word) + length(known)) as ratio from blocks group by word, known) where ratio >= {L.SPELL_CUTOFF})"""
+
+
+# spelling of the words that are new in April 2026; the query spelling_repair works such answers out
 SPELLING = [("handel", "handle"), ("overheting", "overheating")]
 
 

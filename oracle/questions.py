@@ -6,7 +6,7 @@ from intake_spark import lexicon as L
 from intake_spark.plans.catalog import PARAPHRASES
 
 from .base import (BEFORE, CV, FOLDED, GROUPED, OOT, REMARK, ROLLING, cascade, english, first_rule, group_folds, learned, nearest,
-                   parse, q, query, reasons_sql, rule_list, stable_hash)
+                   parse, q, query, reasons_sql, rule_list, stable_hash, similar)
 
 WHOLE = "select *, 0 as split from h"
 SQL: dict[str, str] = {}
@@ -488,8 +488,11 @@ def ceiling(name, product):
 SQL["oracle_ceiling"] = query(ceiling("wording", "0") + " union all " + ceiling("wording and product", "case when vague then product_family end"))
 
 
+# the tail of a chi-square: one less the series of the incomplete gamma function
+GAMMA = ("case when stat <= 0 then 1.0::double else greatest(0, 1 - list_sum(list_transform(range(0, 3000), "
+         "lambda i: exp((dof / 2 + i) * ln(stat / 2) - stat / 2 - lgamma(dof / 2 + i + 1))))) end")
 CHI = " union all ".join(
-    f"select n, {r('stat')} as statistic, dof, case when least(ra, cb) > 1 then {r('sqrt(greatest(stat, 0) / (n * (least(ra, cb) - 1)))')} end as cramers_v, "
+    f"select n, {r('stat')} as statistic, dof, case when dof > 0 then {r(GAMMA)} end as p, case when least(ra, cb) > 1 then {r('sqrt(greatest(stat, 0) / (n * (least(ra, cb) - 1)))')} end as cramers_v, "
     f"{q(c)} as \"column\" from (select cast(sum(o) as bigint) as n, cast(sum(o) as double) * (sum(o * o / (cast(rt as double) * ct)) - 1) as stat, "
     f"count(distinct a) as ra, count(distinct b) as cb, (count(distinct a) - 1) * (count(distinct b) - 1) as dof from ("
     f"select a, b, o, sum(o) over (partition by a) as rt, sum(o) over (partition by b) as ct from ("
@@ -584,3 +587,28 @@ SQL["daily_shares"] = query(f"""select date_trunc('day', created_at) as window_s
     from routed group by 1""", *routed())
 SQL["first_team_weekly"] = query(f"""select date_trunc('week', created_at) as week, count(*) as n,
     {r('avg(cast(first_team_cur = final_team_cur as int))')} as first_team_share from h group by 1""")
+
+
+# ------------------------------------------------------------------------------------ bootstrap, spelling, live windows
+REACHED = "case when k = 0 or k = n then cast(j = k as double) else exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(k / n) + (n - j) * ln(1 - k / n)) end"
+SPREAD = "cast(ceil(10 + 9 * sqrt(n * (k / n) * (1 - k / n))) as bigint)"
+SPOTS = {"l0": 50, "l1": 51, "h0": 1950, "h1": 1951}
+SQL["bootstrap_ci"] = query(f"""
+select route_type, n, {r('k / n')} as accuracy, {r('(0.025 * l0 + 0.975 * l1) / n')} as low, {r('(0.975 * h0 + 0.025 * h1) / n')} as high from (
+  select route_type, n, k, {', '.join(f'coalesce(min(j) filter (reached >= us[{i}]), max(j)) as {c}' for c, i in SPOTS.items())} from (
+    select *, sum({REACHED}) over (partition by route_type order by j rows unbounded preceding) as reached from (
+      select *, unnest(range(greatest(0, cast(floor(n * (k / n)) as bigint) - {SPREAD}), least(n, cast(floor(n * (k / n)) as bigint) + {SPREAD}) + 1)) as j from (
+        select route_type, n, k, list_sort(list_transform(range(2000), lambda b:
+               cast('0x' || substr(md5(concat_ws('|', coalesce(route_type, '~'), cast(b as varchar), '0')), 1, 15) as bigint) / 1152921504606846976.0::double)) as us
+        from (select route_type, count(*) as n, cast(sum({OK}) as bigint) as k from routed group by all)))) group by all)""", *routed())
+
+SQL["spelling_repair"] = query(f"""
+select w.word, s.known, s.ratio from words w left join (
+  select word, arg_max(known, (ratio, known)) as known, max(ratio) as ratio from similar_words group by word) s using (word)""",
+    typos("typo", 0.30, 7), f"""
+vocab as materialized ({SQL['vocabulary'][SQL['vocabulary'].rindex('select distinct word'):]}),
+words as materialized (select distinct word from (select unnest(regexp_extract_all(lower(t), '[a-z]+')) as word from typo)
+  where length(word) >= {L.SPELL_MIN_CHARS} and word not in ({', '.join(q(w) for w in L.KEEP_WORDS)}) and word not in (select word from vocab)),
+{similar('words', 'vocab')}""").replace("with ", "with recursive ", 1)
+
+SQL["live_event_windows"] = """select date_trunc('day', ts) as window_start, event_type, count(*) as n from events group by all"""

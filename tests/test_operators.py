@@ -251,3 +251,37 @@ def test_posterior_shrinks(spark, evidence_all):
     for r in evidence_all.products.collect():
         assert sum(r.post) == pytest.approx(1.0)
         assert len(r.post) == len(L.TEAMS) == len(E.L.TEAMS)
+
+
+def test_p_of_chi_square(spark):
+    """Against a printed table, and against the closed form for even degrees of freedom."""
+    table = [(3.841459, 1, 0.05), (6.634897, 1, 0.01), (5.991465, 2, 0.05), (18.307038, 10, 0.05), (43.772972, 30, 0.05), (0.0, 3, 1.0), (0.000157, 1, 0.99)]
+    even = [(x, d, math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(d // 2))) for x in (0.1, 3.0, 20.0, 90.0) for d in (2, 8, 24)]
+    df = spark.createDataFrame(table + even, "x double, d int, want double")
+    for r in df.withColumn("p", T.chi_square_p(F.col("x"), F.col("d"))).collect():
+        assert r.p == pytest.approx(r.want, rel=1e-4 if (r.x, r.d, r.want) in table else 1e-9)
+    assert spark.range(1).select(T.chi_square_p(F.lit(1.0), F.lit(0)).alias("p")).first().p is None
+
+
+def test_similarity_is_that_of_matching_blocks(spark):
+    rng = random.Random(8)
+    draw = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(13)))
+    pairs = [(draw(), draw()) for _ in range(250)] + [("", ""), ("", "a"), ("handle", "handel"), ("overheating", "overheting")]
+    for r in spark.createDataFrame(pairs, "k string, w string").withColumn("r", R.match_ratio(F.col("k"), F.col("w"))).collect():
+        assert r.r == pytest.approx(difflib.SequenceMatcher(None, r.k, r.w).ratio(), abs=1e-12)
+
+
+def test_rank_in_a_hot_group(spark):
+    """Two thirds of the rows are one group (and a sixth has no key); numbers go on over the pieces of a group."""
+    from intake_spark.operators import ordered as O
+    rows = spark.range(3000).select(F.when(F.col("id") % 6 == 0, F.lit(None)).when(F.col("id") % 6 < 5, F.lit("hot")).otherwise(F.lit("cold")).alias("g"),
+                                    ((F.col("id") * 7919) % 3000).alias("v"))
+    pieces = O.in_pieces(rows, ["g"], [F.asc("v")])
+    got = O.carried(pieces, ["g"], [F.asc("v")], {"n": ("count", F.lit(1)), "s": ("sum", F.col("v")), "x": ("xor", F.col("v"))})
+    assert got.where("g = 'hot'").select(O.PIECE).distinct().count() > 3
+    by = {}
+    for r in sorted(got.collect(), key=lambda r: r.v):
+        n, s, x = by.get(r.g, (0, 0, 0))
+        by[r.g] = (n + 1, s + r.v, x ^ r.v)
+        assert (r.n, r.s, r.x) == by[r.g]
+    assert {r.n for r in O.numbered(rows, ["g"], [F.asc("v")], "n").where("g = 'cold'").collect()} == set(range(1, 501))
