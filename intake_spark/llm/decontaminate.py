@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intake_spark.llm import words as W
+from intake_spark.llm.tables import keeps_names
 
 WINDOW = 10
 SHARD_BYTES = 2 << 20
@@ -309,6 +310,7 @@ def report(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
         F.sha2(F.array_join(F.sort_array(h["items"]), ","), 256).alias("items_sha256"), (h["n_hit"] > 0).alias("contaminated"))
 
 
+@keeps_names
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The rows and columns of ``docs``; every removal span is cut out of its text. Texts without hits stay byte for byte."""
     marked = scan(docs, items, text)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intake_spark.llm import words as W
-from intake_spark.llm.tables import in_arrow
+from intake_spark.llm.tables import in_arrow, keeps_names
 from intake_spark.session import publish
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -383,6 +383,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
                       F.when(alone, 1).otherwise(F.col("class_rows")).cast("long").alias("class_rows"))
 
 
+@keeps_names
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, whose text is the first of its class: the smallest id, rows without id last, then the smallest digest.
 

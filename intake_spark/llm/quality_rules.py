@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from intake_spark.llm.tables import keeps_names
 from intake_spark.session import publish
 
 SPACES = " \t\n\x0b\f\r"
@@ -130,6 +131,7 @@ def judge(df: DataFrame, text: str = "text", rules: list[Rule] | None = None) ->
     return out.withColumn(OWN, m.withField("base_failed", base_failed(m)).withField("kept", kept))
 
 
+@keeps_names
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``df`` that pass, with the columns of ``df`` alone.
 

@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from intake_spark.llm.tables import keeps_names
 from intake_spark.session import publish
 
 KEY = "change-me"
@@ -46,6 +47,8 @@ TITLE = "|".join(TITLES_F + TITLES_M + TITLES_X)
 PERSON = rf"(?<!\p{{L}})(?:(?:{TITLE})\.? {NAME}(?: {NAME})?|(?:{'|'.join(GIVEN_F + GIVEN_M)}) {NAME})(?!\p{{L}})"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, IBAN, IP, SSN, CARD, PHONE, PERSON))
 KINDS = ["email", "iban", "ip", "ssn", "card", "phone", "person"]
+#: Attempts after which the choice of surrogates grows, and the last attempt.
+WIDER, ATTEMPTS = 4, 40
 BETWEEN = r"(?!^)(?!\z)"  # between two characters
 # Syllables of invented names.
 SYLLABLES = {"latin": "ba be bi bo da de di do fa fe fi ga ge ha he ka ke la le li lo ma me mi mo na ne ni no pa ra re".split(),
@@ -72,7 +75,8 @@ def units(raw: Column) -> Column:
     """The parts of an occurrence that get surrogates: (kind, canonical value, part as written)."""
     kind = kind_of(raw)
     digits = _digits(raw)
-    phone = F.when(F.length(digits) > 10, F.right(digits, F.lit(10))).otherwise(digits)
+    # ten digits with or without the country code 1 are one number; other codes tell numbers apart
+    phone = F.when((F.length(digits) == 11) & digits.startswith("1"), F.right(digits, F.lit(10))).otherwise(digits)
     value = (F.when(kind == "email", F.lower(raw)).when(kind == "iban", F.regexp_replace(raw, " ", "")).when(kind == "ip", raw)
              .when(kind == "phone", phone).otherwise(digits))
     title = F.regexp_extract(raw, rf"^({TITLE})\.? ", 1)
@@ -134,18 +138,24 @@ def _syllables(h: Column, n: int, script: str) -> Column:
     return F.concat(*(F.get(pool, F.pmod(_byte(h, F.lit(k)), F.lit(32))) for k in range(n)))
 
 
-def draw(kind: Column, value: Column, h: Column) -> Column:
-    """A surrogate in canonical form."""
+def draw(kind: Column, value: Column, h: Column, attempt: int = 0) -> Column:
+    """A surrogate in canonical form.
+
+    Every ``WIDER`` attempts more of them are possible: longer local parts and names, and for addresses of a private network those of
+    the next larger private one, then all.
+    """
+    more = attempt // WIDER
     many = _redrawn(value, h)
     local, domain = F.substring_index(value, "@", 1), F.regexp_extract(value, "@(.*)$", 1)
     top = F.substring_index(domain, ".", -1)
     # a short local part leaves too few choices: it is filled up to eight letters
-    email = F.concat(_redrawn(F.rpad(local, F.greatest(F.length(local), F.lit(8)), F.lit("x")), h), F.lit("@"),
+    email = F.concat(_redrawn(F.rpad(local, F.greatest(F.length(local), F.lit(8)) + 2 * more, F.lit("x")), h), F.lit("@"),
                      _redrawn(F.substr(domain, F.lit(1), F.length(domain) - F.length(top) - 1), h, 31), F.lit("."), top)
     country = F.substr(value, F.lit(1), F.lit(2))
     account = _redrawn(F.substr(value, F.lit(5)), h)
     octet = lambda k: (F.lit(1) + F.pmod(_byte(h, F.lit(2 * k)) * 256 + _byte(h, F.lit(2 * k + 1)), F.lit(254))).cast("string")
     private = F.regexp_extract(value, r"^(10|192\.168)\.", 1)
+    private = F.when(private == "", "").when(F.lit(more > 1), "").when(F.lit(more == 1), "10").otherwise(private)
     ip = F.when(private == "10", F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3))).when(private != "", F.concat_ws(".", private, octet(2), octet(3))).otherwise(F.concat_ws(".", octet(0), octet(1), octet(2), octet(3)))
     card = F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(many, F.lit(2)))
     stem = F.substr(card, F.lit(1), F.length(card) - 1)
@@ -155,19 +165,23 @@ def draw(kind: Column, value: Column, h: Column) -> Column:
     out = (F.when(kind == "email", email).when(kind == "iban", F.concat(country, _iban_check(country, account), account)).when(kind == "ip", ip)
            .when(kind == "card", F.concat(stem, check.cast("string"))).when(kind.isin("phone", "ssn"), F.concat(leading, F.substr(many, F.lit(2)))))
     for script, (f, m, x, s) in {"latin": ("ia", "n", "el", "son"), "cyrillic": ("ия", "н", "ель", "ко")}.items():
-        out = (out.when(kind == f"given f {script}", F.concat(_syllables(h, 4, script), F.lit(f))).when(kind == f"given m {script}", F.concat(_syllables(h, 4, script), F.lit(m)))
-               .when(kind == f"given x {script}", F.concat(_syllables(h, 4, script), F.lit(x))).when(kind == f"surname {script}", F.concat(_syllables(h, 5, script), F.lit(s))))
+        out = (out.when(kind == f"given f {script}", F.concat(_syllables(h, 4 + more, script), F.lit(f))).when(kind == f"given m {script}", F.concat(_syllables(h, 4 + more, script), F.lit(m)))
+               .when(kind == f"given x {script}", F.concat(_syllables(h, 4 + more, script), F.lit(x))).when(kind == f"surname {script}", F.concat(_syllables(h, 5 + more, script), F.lit(s))))
     return out
 
 
 def mapping(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """kind, value, surrogate for distinct (kind, value) rows; draws again until no surrogate clashes."""
+    """kind, value, surrogate for distinct (kind, value) rows; draws again until no surrogate clashes.
+
+    The number of open rows falls with each attempt, as the choice grows; where a fixed shape (nine digits, say) has no free value
+    left, the last attempt raises an error instead of giving two entities one surrogate.
+    """
     entities = publish(entities, "entities")
     settled, open_, attempt = None, entities, 0
     real = entities.select(F.col("kind").alias("k"), F.col("value").alias("surrogate"))
-    while True:
+    while attempt < ATTEMPTS:
         h = _keyed(key, F.col("kind"), F.col("value"), attempt)
-        drawn = publish(open_.withColumn("h", h).select("kind", "value", draw(F.col("kind"), F.col("value"), F.col("h")).alias("surrogate")), "drawn")
+        drawn = publish(open_.withColumn("h", h).select("kind", "value", draw(F.col("kind"), F.col("value"), F.col("h"), attempt).alias("surrogate")), "drawn")
         free = drawn.join(real, (drawn["kind"] == real["k"]) & (drawn["surrogate"] == real["surrogate"]), "left_anti")
         if settled is not None:
             taken = settled.select(F.col("kind").alias("k"), F.col("surrogate").alias("s"))
@@ -178,6 +192,7 @@ def mapping(entities: DataFrame, key: str = KEY) -> DataFrame:
         attempt += 1
         if open_.isEmpty():
             return settled
+    raise ValueError(f"no distinct surrogates left for {open_.count()} entities after {ATTEMPTS} attempts")
 
 
 def _cased(raw: Column, new: Column) -> Column:
@@ -198,8 +213,10 @@ def _placed(raw: Column, kind: Column, new: Column) -> Column:
             .when(kind.isin("ssn", "card", "phone"), F.array_join(F.transform(F.split(raw, BETWEEN), digit), "")).otherwise(F.initcap(new)))
 
 
+@keeps_names
 def replace(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", key: str = KEY) -> DataFrame:
-    """All columns of ``docs`` with surrogates in ``text``, and ``__pii``: the number of entities by kind."""
+    """All columns of ``docs`` with surrogates in ``text``, and ``__pii``: the kinds of its entities; a column of that name is replaced."""
+    docs = docs.select(*(c for c in docs.columns if not c.endswith(" __pii") and c != "__pii"))
     keyed = docs.select(F.col(doc_id).cast("string").alias("id"), F.xxhash64(text).alias("th"), occurrences(F.col(text)).alias("raws")).where(F.size("raws") > 0)
     one = keyed.select("id", "th", F.posexplode("raws").alias("at", "raw"))
     parts = one.select("id", "th", "at", F.posexplode(units(F.col("raw"))).alias("part", "u"))
@@ -213,8 +230,18 @@ def replace(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", key: st
     between, raws = F.split(F.col(text), ANY, -1), occurrences(F.col(text))
 
     def written(raw: Column, i: Column) -> Column:
+        """The occurrence anew; the parts of a name are set by their place, so equal letters elsewhere in it stay out of it."""
         own = F.filter("__new", lambda x: x["at"] == i)
-        return F.aggregate(own, raw, lambda acc, x: F.when(x["kind"].startswith("given") | x["kind"].startswith("surname"), F.replace(acc, x["raw"], x["new"])).otherwise(x["new"]))
+        title = F.regexp_extract(raw, rf"^(?:{TITLE})\.? ", 0)
+        names = F.split(F.substr(raw, F.length(title) + 1), " ")
+        whole = F.size(own) > 1  # given name and surname
+
+        def name(n: Column, k: Column) -> Column:
+            return (F.when(whole & (k == 0), F.get(own, F.lit(0))["new"]).when(k == F.size(names) - 1, F.element_at(own, -1)["new"]).otherwise(n))
+
+        first = F.get(own, F.lit(0))
+        person = first["kind"].startswith("given") | first["kind"].startswith("surname")
+        return F.when(F.size(own) == 0, raw).when(person, F.concat(title, F.array_join(F.transform(names, name), " "))).otherwise(first["new"])
 
     news = F.transform(raws, written)
     joined = F.array_join(F.flatten(F.transform(between, lambda p, i: F.array(p, F.coalesce(F.get("__newer", i), F.lit(""))))), "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -32,3 +33,17 @@ def in_arrow(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iterat
                      ((columns[f.name], f) for f in target)], schema=target)
 
     return df.mapInArrow(run, schema)
+
+
+def keeps_names(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators whose own columns begin with two underscores: a table's columns of such names are put aside meanwhile."""
+    @functools.wraps(work)
+    def run(docs: DataFrame, *args, **named) -> DataFrame:
+        aside = {c: f"column {k} {c}" for k, c in enumerate(docs.columns) if c.startswith("__")}
+        if not aside:
+            return work(docs, *args, **named)
+        now = lambda v: aside.get(v, v) if isinstance(v, str) else v
+        out = work(docs.withColumnsRenamed(aside), *map(now, args), **{k: now(v) for k, v in named.items()})
+        return out.withColumnsRenamed({v: k for k, v in aside.items()})
+
+    return run
