@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 # The published cut of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Results in one generation of a task's memory, and the longest piece worth remembering.
-REMEMBERED, LONGEST = 150_000, 64
+#: Results in one generation of a worker's memories (of pieces behind a space, of words inside pieces, of first pieces), and the longest piece worth remembering.
+BEHIND_SPACE, INSIDE, FIRST, LONGEST = 150_000, 60_000, 10_000, 64
 #: Bytes of text that are coded before their rows are handed on.
 SLICE = 4 << 20
 LATER, SHORT = 32, 13
@@ -47,16 +47,16 @@ def byte_letters() -> list[str]:
 class _Memory(dict):
     """Results by piece in two generations: a full one becomes the old one, and what is asked for again moves back from there."""
 
-    def __init__(self, make):
+    def __init__(self, make, size: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, piece):
         out = self.old.get(piece)
         if out is None:
             out = self.make(piece)
         if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.size:
                 self.old = dict(self)
                 self.clear()
             self[piece] = out
@@ -88,9 +88,9 @@ class Bpe:
         self.cut_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pattern = regex.compile(PATTERN)
         self.space_before_space = re.compile(r" \s")
-        self.pieces = _Memory(lambda p: self._by_pattern(p))
-        self.after_space = _Memory(lambda p: self._by_pattern(" " + p))
-        self.words = _Memory(lambda w: array("I", self.merge(w.encode())).tobytes())
+        self.pieces = _Memory(lambda p: self._by_pattern(p), FIRST)
+        self.after_space = _Memory(lambda p: self._by_pattern(" " + p), BEHIND_SPACE)
+        self.words = _Memory(lambda w: array("I", self.merge(w.encode())).tobytes(), INSIDE)
 
     def merge(self, data: bytes) -> list[int]:
         """Merge pairs by rank, leftmost first, over a doubly linked list.

@@ -60,7 +60,8 @@ def test_bpe_columns(some):
 
 
 def test_bpe_memory_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    for name in ("BEHIND_SPACE", "INSIDE", "FIRST"):
+        monkeypatch.setattr(bpe, name, 3)
     memory = bpe._Memory(str.encode)
     for x in ["a", "b", "a", "c", "d", "a", "e", "f", "g", "x" * 100, "a"]:
         assert memory[x] == x.encode() and len(memory) <= 3 and len(memory.old) <= 3
