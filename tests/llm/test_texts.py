@@ -59,10 +59,8 @@ def test_bpe_columns(some):
     assert once.schema == coded.schema and by_id(once.collect()) == by_id(coded.collect())
 
 
-def test_bpe_memory_is_bounded(monkeypatch):
-    for name in ("BEHIND_SPACE", "INSIDE", "FIRST"):
-        monkeypatch.setattr(bpe, name, 3)
-    memory = bpe._Memory(str.encode)
+def test_bpe_memory_is_bounded():
+    memory = bpe._Memory(str.encode, 3)
     for x in ["a", "b", "a", "c", "d", "a", "e", "f", "g", "x" * 100, "a"]:
         assert memory[x] == x.encode() and len(memory) <= 3 and len(memory.old) <= 3
     assert "x" * 100 not in memory and "x" * 100 not in memory.old
