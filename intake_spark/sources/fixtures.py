@@ -32,7 +32,7 @@ CLEAR = [(sentence.format(gap), team) for team, sentence, gaps in TOPICS for gap
 VAGUE = [v.replace(" P", " <p>").replace("P ", "<p> ") for v in L.VAGUE_PHRASES]
 # sentences that first appear in April 2026: (order key divisor, remainder, sentence, closing team)
 LATE = [
-    (59, 0, "black smoke out of the <p>, blade shows rust", "Repairs"),
+    (59, 0, "sparks seen on the <p>, blade shows rust", "Repairs"),
     (61, 3, "visit for fitting of the <p> was missed", "Installs & Demo"),
     (67, 1, "<p> chal nahi raha", "Repairs"),
     (67, 2, "<p> kharidi par invoice nahi mila", "Billing"),
