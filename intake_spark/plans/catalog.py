@@ -30,6 +30,7 @@ from ..operators.lookups import lookup
 from ..session import publish, shared_dir, spread
 from ..sources import fixtures as X
 from ..sources import pack as K
+from ..streaming import context as LC
 from ..streaming import online as O
 from . import backtest as BT
 from . import training as TR
@@ -868,6 +869,23 @@ def live_event_windows(spark, sf):
     return O.read_windows(spark, out, ["window_start", "event_type"])
 
 
+@query
+def live_recent_context(spark, sf):
+    """``recent_context`` from a stream with keyed state: requests arrive in three batches in the order of time, and a fourth one brings a
+    seventh of the oldest third again, far too late. Days that the watermark has not closed are not reported."""
+    rows = history(spark, sf).select("request_id", "product_family", "created_at", "final_team_cur", "vague")
+    at = F.unix_micros(F.col("created_at").cast("timestamp"))
+    ends = rows.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
+    folder, out = _run_folder(spark, "requests"), _run_folder(spark, "context")
+    part = F.least(F.lit(2), F.floor((at - F.lit(ends.lo)) * 3 / F.lit(max(1, (ends.hi or 0) - (ends.lo or 0))))).cast("int")
+    late = rows.where((part == 0) & (F.pmod(F.xxhash64("request_id"), F.lit(7)) == 0))
+    for k in range(4):
+        (rows.where(part == k) if k < 3 else late).write.parquet(f"{folder}/in={k}")
+        stream = spark.readStream.schema(rows.schema).option("basePath", folder).parquet(f"{folder}/in=*")
+        LC.context_stream(stream, out, f"{out}/offsets").awaitTermination()
+    return spark.read.parquet(f"{out}/context").drop("batch")
+
+
 @query
 def daily_shares(spark, sf):
     """Vague and new-wording shares per day of the scored later requests."""

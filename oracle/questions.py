@@ -612,3 +612,5 @@ words as materialized (select distinct word from (select unnest(regexp_extract_a
 {similar('words', 'vocab')}""").replace("with ", "with recursive ", 1)
 
 SQL["live_event_windows"] = """select date_trunc('day', ts) as window_start, event_type, count(*) as n from events group by all"""
+SQL["live_recent_context"] = query("""select product_family, day, clear_requests, team_7d, team_30d, team_90d from ctx
+where day + interval 2 day <= (select max(created_at) from h)""", *CONTEXT)
