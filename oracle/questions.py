@@ -614,3 +614,5 @@ words as materialized (select distinct word from (select unnest(regexp_extract_a
 SQL["live_event_windows"] = """select date_trunc('day', ts) as window_start, event_type, count(*) as n from events group by all"""
 SQL["live_recent_context"] = query("""select product_family, day, clear_requests, team_7d, team_30d, team_90d from ctx
 where day + interval 2 day <= (select max(created_at) from h)""", *CONTEXT)
+SQL["approximate_vectors_recall"] = """select count(*) as queries, cast(sum(least(10, n - 1)) as bigint) as neighbours, true as reached
+from embeddings, (select count(*) as n from embeddings) where vec_id % 20 = 0"""
