@@ -1,93 +1,39 @@
-"""Approximate nearest neighbours by cosine: random-projection tables of adaptive depth, for points beyond the exact search.
+"""Approximate nearest neighbours by cosine: the blocks of the exact search, but a query meets only the cells of its nearest pivots.
 
-Each table gives a vector the signs of ``BITS`` projections of its difference from the mean of all points. A bucket is a prefix of
-these signs: the first ``start`` of them, and ``STEP`` more wherever a bucket would hold over ``LIMIT`` points, so dense regions get
-narrow buckets and no bucket's size follows the table's. Points of equal vectors are one point with its ``k`` smallest ids (no more can
-be among anyone's ``k`` nearest), so copies never fill a bucket. What the signs cannot part is cut into blocks.
+How many cells that takes depends on the vectors: a few where they cluster, a large part of all where they point everywhere. So the number
+is learned: a documented sample (the ``SAMPLE`` points with the smallest hash) searches exactly, and ``cells_needed`` takes the least number of
+cells that holds ``GOAL`` of the places found. Every point is indexed.
 
-Rows that move: a point once per table and a query once per table and probe, whatever the data; every (bucket, block) hands on at
-most ``k`` points per query. Distances are exact, only membership is approximate: measure it with ``recall``.
+Rows that move: as in the exact search, packed blocks; vectors are not repeated per cell. A task holds one group of queries. Distances are
+exact, only membership is approximate: measure it with ``recall``.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import publish
-from .lookups import lookup
+from .neighbors import best_in_blocks, in_blocks, no_neighbours, pivots_of, placed_by_pivot, with_vectors
 
-TABLES, PROBES = 16, 8
-BITS, STEP = 60, 4
-FILL, LIMIT = 16, 512  # points that the first prefixes aim at, and the most that a bucket keeps unless the signs end
+#: Points that learn the number of cells, and the share of their exact places that it must hold.
+SAMPLE, GOAL = 512, 0.95
+#: Points that a cell aims at; there are at most ``CELLS`` cells.
+LIMIT, CELLS = 256, 1024
 
 
-def _planes(dimensions: int) -> np.ndarray:
-    return np.random.default_rng(7).standard_normal((TABLES * BITS, dimensions))
-
-
-def _centre(points: DataFrame, dimensions: int) -> np.ndarray:
-    sums = points.agg(*[F.avg(F.col("vec")[i]).alias(f"m{i}") for i in range(dimensions)]).first()
-    return np.array([v or 0.0 for v in sums])
-
-
-def _codes(rows: DataFrame, mean: np.ndarray, start: int, probes: int) -> DataFrame:
-    """``rows`` once per table and probe: the signs as a number, the first one highest; a probe turns the least certain of the first ``start``."""
-
-    def run(batches):
-        planes = _planes(len(mean))
-        places = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            at = (np.stack(pdf["vec"].to_numpy()) - mean) @ planes.T
-            for t in range(TABLES):
-                part = at[:, t * BITS:(t + 1) * BITS]
-                code = (part > 0).astype(np.int64) @ places
-                turn = np.argsort(np.abs(part[:, :start]), axis=1)[:, :probes - 1]
-                for p in range(min(probes, start + 1)):
-                    yield pdf.assign(table=np.int32(t), code=code ^ places[turn[:, p - 1]] if p else code)
-
-    schema = rows.schema.simpleString()[len("struct<"):-1] + ",table:int,code:bigint"
-    return rows.mapInPandas(run, schema)
-
-
-def _prefix(depth) -> F.Column:
-    return F.expr(f"shiftright(code, {BITS} - {depth})")
-
-
-def _full_buckets(codes: DataFrame, start: int) -> tuple[DataFrame, DataFrame]:
-    """((table, depth, prefix) of buckets that go on to the next depth, (table, depth, prefix, blocks) of the last depth's large ones)."""
-    spark = codes.sparkSession
-    full = spark.createDataFrame([], "table int, depth int, prefix bigint")
-    open_, depth = codes.select("table", "code"), start
-    while True:
-        sizes = open_.groupBy("table", _prefix(depth).alias("prefix")).agg(F.count("*").alias("n")).where(F.col("n") > LIMIT)
-        sizes = publish(sizes.select("table", F.lit(depth).alias("depth"), "prefix", "n"), "ann_full")
-        if depth >= BITS or sizes.isEmpty():
-            return full, sizes.select("table", "depth", "prefix", F.ceil(F.col("n") / LIMIT).cast("int").alias("blocks"))
-        full = full.unionByName(sizes.drop("n"))
-        # only points of full buckets go on
-        marked = open_.withColumn("prefix", _prefix(depth))
-        open_ = publish(lookup(marked, sizes.select("table", "prefix"), ["table", "prefix"], ["code"], "inner").select("table", "code"), "ann_open")
-        depth = min(BITS, depth + STEP)
-
-
-def _placed(codes: DataFrame, full: DataFrame, row_id: list[str], start: int) -> DataFrame:
-    """``codes`` with depth and prefix of the bucket that each one falls into."""
-    out, depth, done = codes, start, None
-    levels = {r["depth"] for r in full.select("depth").distinct().collect()}  # at most BITS / STEP
-    while depth in levels:
-        marked = out.withColumns({"depth": F.lit(depth), "prefix": _prefix(depth)})
-        on = publish(full.where(F.col("depth") == depth).select("table", "prefix", F.lit(True).alias("_on")), "ann_level")
-        met = publish(lookup(marked, on, ["table", "prefix"], row_id), "ann_met")
-        settled = met.where("_on is null").drop("_on")
-        done = settled if done is None else done.unionByName(settled)
-        out, depth = met.where("_on").drop("_on", "depth", "prefix"), min(BITS, depth + STEP)
-    last = out.withColumns({"depth": F.lit(depth), "prefix": _prefix(depth)})
-    return last if done is None else done.unionByName(last)
+def cells_needed(sample: DataFrame, cells: DataFrame, met: DataFrame, pivots: np.ndarray, k: int) -> int:
+    """The least number of nearest cells that holds ``GOAL`` of the exact ``k`` places of ``sample`` (id, vec, cell)."""
+    exact = best_in_blocks(in_blocks(sample), met, k, True)
+    places = exact.join(cells.select(F.col("id").alias("p_id"), F.col("cell").alias("at")), "p_id").join(
+        F.broadcast(sample.select(F.col("id").alias("q_id"), "vec")), "q_id").select("vec", "at").collect()  # k rows per point of the sample
+    if not places:
+        return 1
+    like = np.stack([np.array(r["vec"]) for r in places]) @ pivots.T
+    own = np.take_along_axis(like, np.array([[r["at"]] for r in places]), axis=1)
+    before = np.sort((like > own).sum(axis=1))
+    return int(before[int(np.ceil(GOAL * len(before))) - 1]) + 1
 
 
 def k_near(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
@@ -95,61 +41,17 @@ def k_near(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = F
 
     Rows without a vector take no part; equal distances rank by id, as in the exact search. No points or no queries: no rows.
     """
-    need = k + (1 if exclude_self else 0)
-    spark = points.sparkSession
-    id_type, p_type = dict(queries.dtypes)["id"], dict(points.dtypes)["id"]
-    nothing = spark.createDataFrame([], f"q_id {id_type}, p_id {p_type}, distance double, rank int")
-    # rank limits are applied before the shuffle as well, so a third of all rows being copies moves ``need`` rows a task
-    copy = Window.partitionBy("vec").orderBy("id")
-    few = points.where("vec is not null").withColumn("_n", F.row_number().over(copy)).where(F.col("_n") <= need)
-    distinct = publish(few.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")), "ann_points")
-    n = distinct.count()
+    pts = publish(with_vectors(points), "ann_points")
+    n = pts.count()
     if not n:
-        return nothing
-    mean = _centre(distinct, len(distinct.first()["vec"]))
-    start = int(min(BITS, max(1, np.ceil(np.log2(n / FILL)))))
-    codes = publish(_codes(distinct.withColumn("lead", F.col("ids")[0]), mean, start, 1), "ann_codes")
-    full, large = _full_buckets(codes, start)
-    bucket = ["table", "depth", "prefix"]
-    right = lookup(_placed(codes, full, ["lead"], start), large, bucket, ["lead"]).withColumn(
-        "block", F.pmod(F.xxhash64("lead"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    probes = _codes(queries.where("vec is not null").select("id", "vec"), mean, start, PROBES)
-    left = lookup(_placed(publish(probes, "ann_probes"), full, ["id", "table"], start), large, bucket, ["id"])
-    # queries of one bucket are dealt too; the pieces' number follows from the bucket's queries
-    asked = publish(left.groupBy(*bucket).agg(F.ceil(F.count("*") / (4 * LIMIT)).cast("int").alias("pieces")).where("pieces > 1"), "ann_asked")
-    left = lookup(left, asked, bucket, ["id"]).withColumns({
-        "block": F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)),
-        "piece": F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1))).cast("int")})
-    right = lookup(right, asked, bucket, ["lead"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)))
-
-    def scan(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            x = np.stack(b["vec"].to_numpy())
-            a = a.drop_duplicates("id")
-            owner = np.repeat(np.arange(len(b)), [len(i) for i in b["ids"]])
-            ids = np.concatenate([np.asarray(i) for i in b["ids"]])
-            for lo in range(0, len(a), 256):
-                part = a.iloc[lo:lo + 256]
-                d = np.round(1 - np.stack(part["vec"].to_numpy()) @ x.T, 12)
-                for row, q in zip(d, part["id"]):
-                    near = row[owner]
-                    if len(near) > need:  # ties at the edge are settled by id
-                        at = np.flatnonzero(near <= np.partition(near, need - 1)[need - 1])
-                        at = at[np.lexsort((ids[at], near[at]))][:need]
-                    else:
-                        at = np.arange(len(near))
-                    out.append(pd.DataFrame({"q_id": q, "p_id": ids[at], "distance": near[at]}))
-        return pd.concat(out) if out else pd.DataFrame({"q_id": [], "p_id": [], "distance": []})
-
-    keys = [*bucket, "block", "piece"]
-    found = left.select("id", "vec", *keys).groupBy(*keys).cogroup(right.select("ids", "vec", *keys).groupBy(*keys)).applyInPandas(
-        scan, f"q_id {id_type}, p_id {p_type}, distance double")
-    if exclude_self:
-        found = found.where(~F.col("q_id").eqNullSafe(F.col("p_id")))
-    best = Window.partitionBy("q_id").orderBy("distance", "p_id")  # a query's tables, probes and blocks
-    unique = found.groupBy("q_id", "p_id").agg(F.min("distance").alias("distance"))
-    return unique.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return no_neighbours(queries, points)
+    pivots = pivots_of(pts, int(min(CELLS, max(1, n // LIMIT))))
+    cells = publish(placed_by_pivot(pts, pivots), "ann_cells")
+    met = in_blocks(cells)
+    sample = publish(cells.orderBy(F.xxhash64(F.lit(1), "vec"), "id").limit(SAMPLE), "ann_sample")
+    probes = cells_needed(sample, cells, met, pivots, k)
+    asked = met if queries is points else in_blocks(publish(placed_by_pivot(with_vectors(queries), pivots), "ann_queries"))
+    return best_in_blocks(asked, met, k, exclude_self, pivots, probes)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

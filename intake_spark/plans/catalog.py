@@ -702,7 +702,7 @@ def _vectors(spark, sf):
 
 @query
 def approximate_vectors(spark, sf):
-    """The ten nearest others of every vector, by random-projection tables."""
+    """The ten nearest others of every vector, among the cells of its nearest pivots."""
     vec = _vectors(spark, sf)
     return A.k_near(vec, vec, 10, exclude_self=True).select(F.col("q_id").alias("vec_id"), F.col("p_id").alias("near_id"), "distance", "rank")
 

@@ -3,6 +3,7 @@ import numpy as np
 import pytest
 
 from intake_spark.operators import ann as A
+from intake_spark.session import publish
 
 SCHEMA = "id long, vec array<double>"
 
@@ -34,3 +35,18 @@ def test_nothing_to_search(spark):
     assert A.k_near(one, none, 3).count() == 0 == A.k_near(none, one, 3).count()
     assert A.k_near(one, one, 3, exclude_self=True).count() == 0
     assert [tuple(r) for r in A.k_near(one, one, 3).collect()] == [(1, 1, pytest.approx(0.0), 1)]
+
+
+def test_recall_on_vectors_without_clusters_and_rows_written(spark, monkeypatch):
+    """Vectors that point everywhere have far neighbours; no table holds a vector more than once."""
+    written = []
+    monkeypatch.setattr(A, "publish", lambda df, name: written.append(publish(df, name)) or written[-1])
+    x = unit(np.random.default_rng(4).standard_normal((6000, 32)))
+    points = spark.createDataFrame([(i, [float(f) for f in v]) for i, v in enumerate(x)], SCHEMA)
+    asked = points.where("id % 20 = 0")
+    got = A.k_near(asked, points, 10, exclude_self=True).toPandas()
+    d = np.round(1 - x[::20] @ x.T, 12)
+    d[np.arange(300), np.arange(0, 6000, 20)] = 9
+    edge = np.sort(d, axis=1)[:, 9]
+    assert (got.distance <= edge[got.q_id // 20] + 1e-9).sum() >= 0.9 * 10 * 300
+    assert max(df.count() for df in written) <= len(x)
