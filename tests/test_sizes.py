@@ -3,8 +3,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from intake_spark.operators import textmodel as TM
+from intake_spark.plans.catalog import QUERIES
 from intake_spark.session import publish
 
+SF = "/root/testdata/sf0.001"
 BLOCK = TM.Block("text", 1, 2, 2)
 TEXTS = ["red fan red fan", "red fan", "red fan", "blue fan is red", "", None, "single words only once", "blue fan blue"]
 
@@ -27,3 +29,8 @@ def test_weight_sums_are_those_of_the_weights(spark, hot):
     got = {r.row: (r.terms, r.top_weight, r.weight_sum) for r in TM.weight_sums(rows, idf, BLOCK, "row", hot).collect()}
     assert got.keys() == want.keys() == {0, 1, 2, 3, 7}
     assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_checks_read_the_ordered_predictions_once(spark):
+    plan = QUERIES["deliverable_checks"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [" not in plan
