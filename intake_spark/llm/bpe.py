@@ -14,6 +14,7 @@ results; empty tables give empty results; other columns stay.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -161,6 +162,13 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
+def release() -> None:
+    """Give a worker's vocabularies and memories back: idle workers stay for a minute, beside the executor's next stage."""
+    load.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: number of tokens, digest of the ids, digest of the decoded text."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -206,6 +214,8 @@ def coded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", deco
                 found = [bpe.encode(t.as_py() or "") for t in part.column(names.index(text))]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found).astype(np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(map(bpe.decode, found), pa.string())], names=[*names, ids, decoded])
+        del bpe
+        release()
 
     return kept.mapInArrow(run, kept.withColumns({ids: F.array().cast("array<int>"), decoded: F.lit("")}).schema)
 
