@@ -149,7 +149,9 @@ def meta_table(base: DataFrame) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """Blank-separated words of the lower-cased text that consist of letters only."""
-    return F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w.rlike(r"^\p{L}+$"))
+    s = F.lower(text)
+    any_letters = F.filter(F.split(s, r"(?U)\s+"), lambda w: w.rlike(r"^\p{L}+$"))
+    return F.when(F.octet_length(s) == F.char_length(s), F.regexp_extract_all(s, F.lit(r"(?<!\S)[a-z]+(?!\S)"), F.lit(0))).otherwise(any_letters)
 
 
 def vocabulary(parsed: DataFrame, splits: Splits) -> DataFrame:

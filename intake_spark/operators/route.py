@@ -141,14 +141,15 @@ def read_unknown(unknown: DataFrame, evidence: Evidence, features, fallback: Fal
 
 
 def _states_need() -> Column:
-    return (F.trim(F.regexp_replace("text", r"(?U)\s+", " ")) != "") & ~F.col("vague")
+    return F.col("text").rlike(r"(?U)\S") & ~F.col("vague")
 
 
 def readings_of(parsed_rows: DataFrame, evidence: Evidence, features, fallback: Fallback = majority_fallback) -> DataFrame:
     """The distinct texts whose deciding request history does not know, with everything the cascade needs about them."""
     known_phrases = evidence.phrases.select("split", "last", F.lit(True).alias("_known"))
-    candidates = parsed_rows.where(_states_need()).select("split", "text", "norm", "last").distinct()
-    unknown = lookup(candidates, known_phrases, ["split", "last"], ["split", "text"]).where("_known is null").drop("_known")
+    candidates = parsed_rows.where(_states_need()).select("split", "text", "norm", "last")
+    # known requests, nearly all, are left out before the others are made distinct
+    unknown = lookup(candidates, known_phrases, ["split", "last"], ["split", "text"]).where("_known is null").drop("_known").distinct()
     if "B4" in features:  # stored with the texts, because the spelling step reads it several times
         unknown = unknown.withColumn("_english", hinglish_to_english(F.col("text")))
     return read_unknown(publish(unknown, "unknown_texts"), evidence, features, fallback)
@@ -179,6 +180,8 @@ def route(requests: DataFrame, evidence: Evidence, features=L.DEFAULT_FEATURES,
         rows = rows.withColumn("product_family", F.lit(None).cast("string"))
     if not parsed:
         rows = P.with_phrases(rows.withColumn("text", C.fix_text(F.col(text_col))), shown=True)
+    elif "shown" not in rows.columns:
+        rows = P.with_shown(rows)  # a report without quotes leaves these columns out, and then they are not worked out
     # pass 1: the wordings that history does not know
     if readings is None:
         readings = readings_of(rows, evidence, features, fallback)
@@ -195,16 +198,16 @@ def route(requests: DataFrame, evidence: Evidence, features=L.DEFAULT_FEATURES,
     rows = rows.join(F.broadcast(evidence.stats), "split", "left")  # one row per split
     if {"A1", "C2"} & features:
         products = evidence.products.select("split", "product_family", F.col("n").alias("product_n"),
-                                            F.col("post").alias("product_post"))
+                                            F.col("post").alias("product_post"), ranked(F.col("post")).alias("_by_product"))
         rows = lookup(rows, products, ["split", "product_family"], key)
     else:
         rows = rows.withColumns({"product_n": F.lit(None).cast("bigint"),
-                                 "product_post": F.lit(None).cast("array<double>")})
+                                 "product_post": F.lit(None).cast("array<double>"), "_by_product": F.lit(None)})
 
     vague = F.col("vague") | F.coalesce("r_vague", F.lit(False))
     last = F.coalesce("r_last", "last")
     seen_team, seen_k, seen_n = F.coalesce("p_team", "r_team"), F.coalesce("p_k", "r_k"), F.coalesce("p_n", "r_count")
-    blank = F.trim(F.regexp_replace("text", r"(?U)\s+", " ")) == ""
+    blank = ~F.col("text").rlike(r"(?U)\S")
     rows = rows.withColumns({
         "route_type": F.when(blank | (last == ""), "empty").when(vague, "vague").when(seen_team.isNotNull(), "seen")
                        .otherwise("new_wording"),
@@ -215,7 +218,6 @@ def route(requests: DataFrame, evidence: Evidence, features=L.DEFAULT_FEATURES,
         "_seen_team": seen_team, "_seen_k": seen_k, "_seen_n": seen_n,
         "_seen_alternatives": F.coalesce("p_alternatives", "r_alternatives"),
         "_remark": P.payment_remark(F.col("text")),
-        "_by_product": ranked(F.col("product_post")) if "A1" in features else F.lit(None),
     })
     is_new = F.col("route_type") == "new_wording"
     rows = rows.withColumns({
