@@ -118,6 +118,12 @@ VAGUE_RULES = {
 }
 
 
+def reported(decided: DataFrame) -> DataFrame:
+    """A decision without its reasons, its question and the parsed text: what reports count. Those columns are then not worked out."""
+    return decided.drop("reasons", "clarifying_question", "deciding_request", "alternatives_basis", "model_version", "norm", "first",
+                        "last", "n_clauses")
+
+
 def as_long(decided: DataFrame, columns: dict[str, str], keep: list[str]) -> DataFrame:
     """One row per (request, model): the decision columns side by side become rows."""
     return decided.select(*keep, F.explode(F.array(*[
@@ -141,14 +147,15 @@ def vague_rule_table(ruled: DataFrame, cost_per_miss: DataFrame) -> DataFrame:
 def compare(long: DataFrame, champion: str, by: list[str] = ()) -> DataFrame:
     """Champion against challengers on the same requests: accuracy, wins, losses, exact p, Holm p.
 
-    ``long`` has split, request_id, model, pred, final_team_cur, route_type. All models of a request meet
-    in one grouping by request, so a paired comparison never relies on row positions.
+    ``long`` has split, request_id, model, pred, final_team_cur, route_type. Rows that carry the champion's decision
+    (``champion``) are paired already; others meet the champion's row by request, never by row positions.
     """
     ok = M.right("pred") == 1
     key = [*by, "split", "request_id"]
-    base = F.max(F.when(F.col("model") == champion, ok)).alias("champion_ok")
-    # the models of one request are a handful of rows
-    paired = long.withColumn("ok", ok).join(long.groupBy(*key).agg(base), key)
+    if "champion" in long.columns:
+        paired = long.withColumns({"ok": ok, "champion_ok": M.right("champion") == 1})
+    else:
+        paired = long.withColumn("ok", ok).join(long.where(F.col("model") == champion).select(*key, ok.alias("champion_ok")), key, "left")
     out = paired.groupBy(*by, "model").agg(
         F.count("*").alias("n"), F.avg(F.col("ok").cast("int")).alias("pooled_acc"),
         M.mean_where(F.col("ok").cast("int"), F.col("route_type") != "vague").alias("clear"),
@@ -179,9 +186,9 @@ def challenger_rows(history: DataFrame, features=L.DEFAULT_FEATURES, fallback=ma
     """Rolling backtest of the champion and the count-based challengers, long form."""
     scheme = rolling(history)
     evidence = E.fit(scheme[0], splits=scheme[1], features=features, parsed=True)
-    decided = publish(run(scheme, features, fallback=fallback, evidence=evidence), "champion")
+    decided = publish(reported(run(scheme, features, fallback=fallback, evidence=evidence)).withColumn("champion", F.col("team")), "champion")
     ruled = with_vague_rules(decided, evidence, recent_vague(*scheme))
-    keep = ["split", "request_id", "final_team_cur", "route_type"]
+    keep = ["split", "request_id", "final_team_cur", "route_type", "champion"]
     long = as_long(ruled, {
         "cascade": "team", "unclear: product": "rule_product",
         "unclear: half a year": "rule_recent", "unclear: product and cover": "rule_product_warranty",
@@ -243,7 +250,7 @@ def simple_models(scheme: tuple[DataFrame, S.Splits]) -> DataFrame:
 def robustness(scheme: tuple[DataFrame, S.Splits], rules) -> DataFrame:
     """Mean and spread over folds of the decision rules for vague requests."""
     evidence = E.fit(scheme[0], splits=scheme[1], features={"A1"}, parsed=True)
-    ruled = with_vague_rules(publish(run(scheme, {"A1"}, rules, evidence=evidence), "robust"), evidence)
+    ruled = with_vague_rules(publish(reported(run(scheme, {"A1"}, rules, evidence=evidence)), "robust"), evidence)
     long = as_long(ruled, {"cascade": "team", "pooled": "rule_pooled", "unclear: product": "rule_product",
                            "unclear: product and cover": "rule_product_warranty"},
                    ["split", "request_id", "final_team_cur", "route_type"])
@@ -309,7 +316,7 @@ def typo_test(history: DataFrame, levels=(("clean", 0.0), ("light", 0.15), ("hea
         F.struct(F.lit(name).alias("level"), (corrupt(F.col("text"), F.col("request_id"), p, seed) if p else F.col("text")).alias("text"))
         for seed, (name, p) in enumerate(levels)])).alias("v")).select(
         "split", "product_family", "final_team_cur", "v.level", "v.text", F.concat_ws("/", "source_id", "v.level").alias("request_id"))
-    texts = publish(P.with_phrases(texts, shown=True), "typos")
+    texts = publish(P.with_phrases(texts).drop("core", "clauses"), "typos")
     out = None
     for f in features:
         one = route(texts, evidence, f, fallback=fallback, parsed=True).select(

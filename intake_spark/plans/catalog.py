@@ -26,7 +26,7 @@ from ..operators import repair as R
 from ..operators import splits as S
 from ..operators import stats as ST
 from ..operators import textmodel as TM
-from ..operators.route import first_rule, matching_teams
+from ..operators.route import first_rule, matching_teams, readings_of
 from ..session import publish, shared_dir, spread
 from ..sources import fixtures as X
 from ..sources import pack as K
@@ -89,7 +89,18 @@ def oot_evidence(spark, sf) -> E.Evidence:
 @shared
 def oot(spark, sf) -> DataFrame:
     """Later requests decided from the earlier ones, default switches."""
-    return publish(BT.run(BT.out_of_time(history(spark, sf)), evidence=oot_evidence(spark, sf)), "oot")
+    return publish(BT.reported(oot_decisions(spark, sf)), "oot")
+
+
+@shared
+def oot_readings(spark, sf) -> DataFrame:
+    scheme = BT.out_of_time(history(spark, sf))
+    return readings_of(scheme[1].scored(scheme[0]), oot_evidence(spark, sf), L.DEFAULT_FEATURES)
+
+
+def oot_decisions(spark, sf) -> DataFrame:
+    """The same with every column, not stored."""
+    return BT.run(BT.out_of_time(history(spark, sf)), evidence=oot_evidence(spark, sf), readings=oot_readings(spark, sf))
 
 
 @shared
@@ -100,18 +111,19 @@ def rolling_evidence(spark, sf) -> E.Evidence:
 
 @shared
 def rolling(spark, sf) -> DataFrame:
-    return publish(BT.run(BT.rolling(history(spark, sf)), evidence=rolling_evidence(spark, sf)), "rolling")
+    return publish(BT.reported(BT.run(BT.rolling(history(spark, sf)), evidence=rolling_evidence(spark, sf))), "rolling")
 
 
 @shared
 def ruled(spark, sf) -> DataFrame:
     scheme = BT.rolling(history(spark, sf))
-    return publish(BT.with_vague_rules(rolling(spark, sf), rolling_evidence(spark, sf), BT.recent_vague(*scheme)), "ruled")
+    ruled = BT.with_vague_rules(rolling(spark, sf), rolling_evidence(spark, sf), BT.recent_vague(*scheme))
+    return publish(ruled.select("split", "request_id", "final_team_cur", "route_type", "team", *BT.VAGUE_RULES.values()), "ruled")
 
 
 @shared
 def cross_validated(spark, sf) -> DataFrame:
-    return publish(BT.run(BT.cross_validation(history(spark, sf)), features={"A1"}), "cv")
+    return publish(BT.reported(BT.run(BT.cross_validation(history(spark, sf)), features={"A1"})), "cv")
 
 
 @shared
@@ -347,7 +359,7 @@ def decision_columns(decided):
 
 @query
 def route_reasons(spark, sf):
-    return oot(spark, sf).select("request_id", F.array_join("reasons", "|").alias("reasons"))
+    return oot_decisions(spark, sf).select("request_id", F.array_join("reasons", "|").alias("reasons"))
 
 
 @query
@@ -366,7 +378,7 @@ def route_all_switches(spark, sf):
 
 @query
 def review_queue(spark, sf):
-    return O.review_rows(oot(spark, sf)).drop("logged_at")
+    return O.review_rows(oot_decisions(spark, sf)).drop("logged_at")
 
 
 # ------------------------------------------------------------------------------------ metrics
@@ -539,8 +551,7 @@ def held_out_wording(spark, sf):
 def held_out_family(spark, sf):
     """Strict groups (numbers masked), fair rules, spelling repair on: rows decided per step."""
     scheme = BT.held_out(history(spark, sf), C.phrase_family(F.col("last")))
-    decided = publish(BT.run(scheme, {"B4"}, L.TEAM_WORD_RULES), "held_out_family")
-    return BT.decider_breakdown(decided.where(~F.col("vague")))
+    return BT.decider_breakdown(BT.run(scheme, {"B4"}, L.TEAM_WORD_RULES).where(~F.col("vague")))
 
 
 @query
