@@ -12,12 +12,19 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 
+
+
+def _starts(words: str, more: str = "") -> str:
+    """A look at one letter: most places of a text are passed by without trying each word there. What matches stays the same."""
+    return "(?=[" + "".join(sorted({w[0] for w in words.split("|")})) + more + "])"
+
+
 _U = "(?U)"
-_PRODUCT = rf"\b({L.PRODUCT_WORDS})\b"
-_ID = L.ID_PATTERN
+_PRODUCT = rf"{_starts(L.PRODUCT_WORDS)}\b({L.PRODUCT_WORDS})\b"
+_ID = _starts(L.ID_PATTERN.removeprefix(r"\b(")) + L.ID_PATTERN
 _GREETING = L.GREETING_PATTERN
-_PAYMENT = rf"\b({L.PAYMENT_WORDS})\b"
-_CLOSING = rf"\b({L.CLOSING_WORDS})(?=\s|$|,)|\.{{2,}}|[-–]+\s*$"
+_PAYMENT = rf"{_starts(L.PAYMENT_WORDS)}\b({L.PAYMENT_WORDS})\b"
+_CLOSING = rf"{_starts(L.CLOSING_WORDS, '.–-')}(?:\b({L.CLOSING_WORDS})(?=\s|$|,)|\.{{2,}}|[-–]+\s*$)"
 _VAGUE = "^(" + "|".join(L.VAGUE_PHRASES) + ")$"
 _JOINER = "\u0001"
 _FIXED_TAILS = "|".join(c for c in L.CONTINUATIONS if "P" not in c)
@@ -113,17 +120,21 @@ def with_phrases(df: DataFrame, text: str = "text", prefix: str = "", shown: boo
 
     Every step reads the one before it, which keeps the regex chain linear in the plan.
     """
+    out = with_requests(df.withColumn(prefix + "norm", normalise(F.col(text))), prefix)
+    return with_shown(out, text, prefix) if shown else out
+
+
+def with_requests(df: DataFrame, prefix: str = "") -> DataFrame:
+    """Adds core, clauses, n_clauses, first, last and vague, all of which follow from ``norm``."""
     p = prefix
-    out = df.withColumn(p + "norm", normalise(F.col(text)))
-    out = out.withColumn(p + "core", core_of(F.col(p + "norm")))
+    out = df.withColumn(p + "core", core_of(F.col(p + "norm")))
     out = out.withColumn(p + "clauses", split_core(F.col(p + "core")))
     out = out.withColumns({
         p + "n_clauses": F.size(p + "clauses"),
         p + "first": F.element_at(p + "clauses", 1),
         p + "last": F.element_at(p + "clauses", -1),
     })
-    out = out.withColumn(p + "vague", is_vague_clause(F.col(p + "last")))
-    return with_shown(out, text, p) if shown else out
+    return out.withColumn(p + "vague", is_vague_clause(F.col(p + "last")))
 
 
 def with_shown(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:

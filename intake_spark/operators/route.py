@@ -230,7 +230,7 @@ def route(requests: DataFrame, evidence: Evidence, features=L.DEFAULT_FEATURES,
     # ---- new wording: the first step that has an answer
     votes = F.array_compact(F.array("rule_team", "near_team", "fb_team"))
     agree = lambda t: F.coalesce(F.size(F.filter(votes, lambda v: v == t)), F.lit(0))
-    rows = rows.withColumn("_agree", F.greatest(agree(F.col("rule_team")), agree(F.col("near_team")), agree(F.col("fb_team"))))
+    rows = rows.withColumn("_agree", F.when(is_new, F.greatest(agree(F.col("rule_team")), agree(F.col("near_team")), agree(F.col("fb_team")))))
     voted = F.when(agree(F.col("rule_team")) == F.col("_agree"), F.col("rule_team")).when(
         agree(F.col("near_team")) == F.col("_agree"), F.col("near_team")).otherwise(F.col("fb_team"))
     steps = []  # (detail, condition, team, confidence)

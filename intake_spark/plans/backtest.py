@@ -274,21 +274,30 @@ BASE_VARIANT = "plain"
 
 def switch_rows(scheme: tuple[DataFrame, S.Splits], paraphrases: DataFrame | None, variants=None, rules=None,
                 where: Column | None = None, fallback=majority_fallback) -> DataFrame:
-    """Decisions of every variant on the same rows, long form. The history is learned from once."""
+    """Decisions of every variant on the same rows, long form. The history is learned from once.
+
+    Rows carry the plain variant's decision (``champion``), so that the variants need not meet it by request.
+    """
     variants = variants or VARIANTS
     every = frozenset().union(*variants.values())
     evidence = E.fit(scheme[0], splits=scheme[1], features=every, paraphrases=paraphrases, parsed=True)
     rows = scheme[1].scored(scheme[0] if where is None else scheme[0].where(where))
-    out, read = None, []
-    for name, features in variants.items():
+    read = []
+
+    def decided(frame: DataFrame, features) -> DataFrame:
         own = evidence if "B3" in features else without_paraphrases(evidence)
         readings = next((r for f, r in read if same_readings(f, features)), None)
         if readings is None:
-            readings = readings_of(rows, own, features, fallback)
+            readings = readings_of(frame, own, features, fallback)
             read.append((features, readings))
-        one = route(rows, own, features, rules, fallback, parsed=True, readings=readings)
-        one = one.select("split", "request_id", "final_team_cur", "route_type", "route_detail", "auto_route",
-                         F.col("team").alias("pred"), F.lit(name).alias("model"))
+        return route(frame, own, features, rules, fallback, parsed=True, readings=readings)
+
+    kept = ["split", "request_id", "final_team_cur", "product_family", "text", "norm", "first", "last", "n_clauses", "vague"]
+    rows = publish(decided(rows, VARIANTS[BASE_VARIANT]).select(*[c for c in kept if c in rows.columns], F.col("team").alias("champion")), "champion")
+    out = None
+    for name, features in variants.items():
+        one = decided(rows, features).select("split", "request_id", "final_team_cur", "route_type", "route_detail", "auto_route",
+                                             F.col("team").alias("pred"), F.lit(name).alias("model"), "champion")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -9,6 +9,7 @@ from .. import lexicon as L
 from ..functions import parse as P
 from ..operators import evidence as E
 from ..operators import textmodel as TM
+from ..operators.lookups import is_small
 from ..operators.route import majority_fallback, route
 from ..session import publish
 from ..sources import pack as K
@@ -16,7 +17,20 @@ from ..sources import pack as K
 
 def parsed_history(train: DataFrame, log: DataFrame) -> DataFrame:
     """Cleaned and parsed history: the table every other job reads. The requests as shown are worked out where decisions quote them."""
-    return P.with_phrases(K.clean_history(K.join_history(train, log))).drop("core", "clauses")
+    cleaned = K.clean_history(K.join_history(train, log))
+    return with_requests_once(publish(cleaned.withColumn("norm", P.normalise(F.col("text"))), "cleaned"))
+
+
+def with_requests_once(rows: DataFrame) -> DataFrame:
+    """Rows with ``norm`` parsed, without core and clauses. Messages repeat once their numbers and products are masked, so each distinct
+    ``norm`` is parsed once and broadcast. Where the distinct ones are too many for that, each row is parsed where it lies: no row is shuffled.
+    """
+    norms = publish(rows.select("norm").distinct(), "norms")
+    if not is_small(norms):
+        return P.with_requests(rows).drop("core", "clauses")
+    parsed = publish(P.with_requests(norms).drop("core", "clauses"), "parsed_norms")
+    joined = rows.join(F.broadcast(parsed), "norm", "left")
+    return joined.select(*rows.columns, *[c for c in parsed.columns if c != "norm"])
 
 
 def last_resort(history: DataFrame, out: str):
