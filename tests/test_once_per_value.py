@@ -94,3 +94,16 @@ def test_switches_carry_the_champion(spark):
     got, want = (sorted(map(str, Q.rounded(BT.compare(d, BT.BASE_VARIANT)).collect())) for d in (rows, rows.drop("champion")))
     assert got == want
     assert " Join " not in BT.compare(rows, BT.BASE_VARIANT).select("model", "n")._jdf.queryExecution().optimizedPlan().toString().replace("\n", " ")
+
+
+def test_a_small_fit_reads_one_piece(spark, monkeypatch):
+    pieces = []
+
+    class Kept:
+        def fit(self, ready):
+            pieces.append(ready.rdd.getNumPartitions())
+
+    monkeypatch.setattr(TM, "estimator", lambda *a: Kept())
+    texts = spark.createDataFrame([(f"fan {i} not working", "Repairs", 1.0) for i in range(200)], "norm string, team string, weight double")
+    TM.fit_on_texts(publish(texts.repartition(8), "texts"), (TM.FULL,))
+    assert pieces == [1]
